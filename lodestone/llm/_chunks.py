@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._spark import materialize
-from lodestone.llm._tokens import Texts, texts_of
+from lodestone.llm._tokens import Texts, lean, texts_of
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 SHARD_BYTES = 8 << 20
 PAYLOAD = "shard int, chunk bigint, payload binary"
 
@@ -62,6 +62,7 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        lean()
         part, seq = TaskContext.get().partitionId(), 0
         held: list[pa.RecordBatch] = []
         size = 0
@@ -106,6 +107,7 @@ def emit(chunks: DataFrame, fn: Callable[[Chunk], Iterator[tuple[int, bytes]]])
     """(shard, chunk, payload) of what ``fn`` gives for each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for number, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
                 chunk = read_chunk(number, blob.as_buffer())
@@ -118,6 +120,7 @@ def reduce_shards(payloads: DataFrame, fn: Callable[[int, list[int], list[bytes]
     """(shard, chunk, payload) of what ``fn(shard, chunk numbers, payloads)`` sends back to chunks."""
 
     def run(group: pa.Table) -> pa.Table:
+        lean()
         shard = group.column("shard")[0].as_py()
         order = np.argsort(group.column("chunk").to_numpy(), kind="stable")
         group = group.take(pa.array(order))
@@ -131,6 +134,7 @@ def with_answers(chunks: DataFrame, answers: DataFrame, fn: Callable[[Chunk, lis
     """``fn(chunk, answers)`` for each chunk, with the (shard, payload) answers sent to it in shard order."""
 
     def run(own: pa.Table, sent: pa.Table) -> pa.Table:
+        lean()
         if not own.num_rows:
             raise ValueError("an answer was sent to a chunk that does not exist")
         got = sorted(zip(sent.column("shard").to_pylist(), sent.column("payload").to_pylist(), strict=True), key=lambda x: x[0])

@@ -7,6 +7,8 @@ sums modulo 2**64, then mixed; they depend on the text alone.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from functools import cache
 from typing import NamedTuple
 
@@ -19,7 +21,6 @@ _CODE = np.arange(256, dtype=np.uint8)
 _SPACE = (_CODE == 0x20) | ((_CODE >= 0x09) & (_CODE <= 0x0D))
 _LOWER = np.where((_CODE >= 0x41) & (_CODE <= 0x5A), _CODE + 32, _CODE).astype(np.uint8)
 _BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xD1342543DE82EF95}
-_ONE = np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,23 +33,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@cache
-def _powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _BASES[kind]
-    out = []
-    for b in (base, pow(base, -1, 2**64)):
-        steps = np.full(n, b, dtype=np.uint64)
-        steps[0] = 1
-        out.append(np.cumprod(steps, dtype=np.uint64))
-    return out[0], out[1]
+_HELD: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least ``n``; the length is rounded up so that few are kept."""
-    up, down = _powers(kind, 1 << max(16, int(n).bit_length()))
+    """Powers of the base and of its inverse, ``n`` each; only the longest arrays so far are kept."""
+    if kind not in _HELD or len(_HELD[kind][0]) < n:
+        out = []
+        for b in (_BASES[kind], pow(_BASES[kind], -1, 2**64)):
+            steps = np.full(-(-n // (1 << 18)) << 18, b, dtype=np.uint64)
+            steps[0] = 1
+            out.append(np.cumprod(steps, dtype=np.uint64))
+        _HELD[kind] = (out[0], out[1])
+    up, down = _HELD[kind]
     return up[:n], down[:n]
 
 
+@cache
+def lean() -> None:
+    """In a Python worker: give large arrays back to the system when they are freed, instead of keeping them for reuse."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
 class Texts(NamedTuple):
     """UTF-8 bytes of several texts, one after the other; text i is data[offsets[i]:offsets[i+1]]."""
 
