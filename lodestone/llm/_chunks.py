@@ -25,6 +25,8 @@ from lodestone.llm._tokens import Texts, lean, texts_of
 
 CHUNK_BYTES = 2 << 20
 SHARD_BYTES = 8 << 20
+#: Documents of a chunk at most, so that (chunk << 16) | position numbers every row.
+CHUNK_DOCS = 1 << 15
 PAYLOAD = "shard int, chunk bigint, payload binary"
 
 
@@ -56,7 +58,8 @@ def read_chunk(number: int, blob: bytes) -> Chunk:
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(chunk long, n_docs long, n_bytes long, blob binary), written to the shared folder.
 
-    A chunk ends with the document that brings it to ``chunk_bytes``.
+    A chunk ends with the document that brings it to ``chunk_bytes``, or to
+    ``CHUNK_DOCS`` documents.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,14 +68,14 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
         lean()
         part, seq = TaskContext.get().partitionId(), 0
         held: list[pa.RecordBatch] = []
-        size = 0
+        size = n = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, held, size
+            nonlocal seq, held, size, n
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()
             joined = whole[0] if len(whole) == 1 else pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in whole]) for i in range(2)], names=["doc_id", "text"])
-            row = [[(part << 32) | seq], [joined.num_rows], [size], [_blob(joined)]]
-            seq, held, size = seq + 1, [], 0
+            row = [[(part << 24) | seq], [joined.num_rows], [size], [_blob(joined)]]
+            seq, held, size, n = seq + 1, [], 0, 0
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["chunk", "n_docs", "n_bytes", "blob"])
 
         for batch in batches:
@@ -80,11 +83,12 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
             at = 0
             while at < batch.num_rows:
                 stop = int(np.searchsorted(ends, ends[at] + chunk_bytes - size, "left"))
-                stop = min(max(stop, at + 1), batch.num_rows)
+                stop = min(max(stop, at + 1), batch.num_rows, at + CHUNK_DOCS - n)
                 held.append(batch.slice(at, stop - at))
                 size += int(ends[stop] - ends[at])
+                n += stop - at
                 at = stop
-                if size >= chunk_bytes:
+                if size >= chunk_bytes or n >= CHUNK_DOCS:
                     yield flush()
         if held:
             yield flush()
