@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, jaccard_join, kd_search, language_id, mixing, secrets, substring_dedup
+from lodestone.llm import decontaminate, jaccard_join, kd_search, kneser_ney, language_id, mixing, secrets, substring_dedup
 from lodestone.llm._spark import table
 
 
@@ -29,6 +29,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_documents(table(spark, sf_dir, "documents"), folds=10)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), num=75, den=100, width=5)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -66,6 +70,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_top_k": op1_kd_top_k,
     "op2_decontaminate": op2_decontaminate,
+    "op3_kneser_ney": op3_kneser_ney,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
