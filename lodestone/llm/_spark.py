@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -41,6 +42,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now, rather than when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear_materialized(spark: SparkSession) -> None:
     """Delete what :func:`materialize` wrote in this application; results still to be read from it are lost."""
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc

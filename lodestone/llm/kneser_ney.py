@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._chunks import Chunk, chunked, emit, shards_for, with_answers
-from lodestone.llm._spark import materialize
+from lodestone.llm._spark import materialize, release
 from lodestone.llm._tokens import lean, lowered, mix, pack, shard_cuts, unpack, words_of
 
 ROWS = "kind int, shard int, chunk bigint, payload binary"
-ANSWER_BIGRAMS, ANSWER_WORDS, CONTINUATIONS, MODEL, STATISTICS, ANSWER_CONTINUATIONS = range(6)
+ANSWER_BIGRAMS, ANSWER_WORDS, ASKED, CONTINUATIONS, MODEL, STATISTICS, ANSWER_CONTINUATIONS = range(7)
 BEGIN, END = (int(x) for x in mix(np.array([11, 13], np.uint64)))
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -122,7 +122,9 @@ def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({"kind": pa.array(kind, pa.int32()), "shard": pa.array(shard, pa.int32()), "chunk": pa.array(chunk, pa.int64()), "payload": pa.array(payload, pa.binary())})
 
 
-def _gather(shards: int):
+def _gather(shards: int, keep: bool):
+    """What a shard answers, and its part of the model if ``keep``."""
+
     def run(group: pa.Table) -> pa.Table:
         lean()
         shard = group.column("shard")[0].as_py()
@@ -150,8 +152,9 @@ def _gather(shards: int):
         for c, p, a, b in zip(chunks, parts, starts[:-1], starts[1:], strict=True):
             own = at[a:b]
             k = len(p[4]) // 5
-            rows.append((ANSWER_BIGRAMS, shard, c, pack(mass[own], *(x[own].astype(np.uint32) for x in kinds), *_small(pair_total[number[at_pair : at_pair + k]]))))
-            rows.append((ANSWER_WORDS, shard, c, pack(p[0], total[own])))
+            rows.append((ANSWER_BIGRAMS, shard, c, pack(*(y for x in (mass, *kinds) for y in _small(x[own])), *_small(pair_total[number[at_pair : at_pair + k]]))))
+            rows.append((ANSWER_WORDS, shard, c, pack(*_small(total[own]))))
+            rows.append((ASKED, shard, c, pack(p[0])))
             at_pair += k
         # in how many contexts each follower was seen, to the shard of that word
         upper, n = np.unique(pair_follower[seen], return_counts=True)
@@ -159,9 +162,10 @@ def _gather(shards: int):
         cuts[1:-1] = np.searchsorted(upper, np.array([((i << 64) // shards) >> 24 for i in range(1, shards)], np.uint64))
         for s in range(shards):
             if cuts[s] < cuts[s + 1]:
-                rows.append((CONTINUATIONS, s, -1, pack(upper[cuts[s] : cuts[s + 1]], n[cuts[s] : cuts[s + 1]].astype(np.uint32))))
-        follow = np.bincount(pair_context[seen], minlength=len(words)).astype(np.uint32)
-        rows.append((MODEL, shard, -1, pack(words, *_small(total), follow, _followers(pair_follower[seen] << np.uint64(24)), *_small(pair_total[seen]))))
+                rows.append((CONTINUATIONS, s, -1, pack(_followers(upper[cuts[s] : cuts[s + 1]] << np.uint64(24)), *_small(n[cuts[s] : cuts[s + 1]]))))
+        if keep:
+            follow = np.bincount(pair_context[seen], minlength=len(words)).astype(np.uint32)
+            rows.append((MODEL, shard, -1, pack(words, *_small(total), follow, _followers(pair_follower[seen] << np.uint64(24)), *_small(pair_total[seen]))))
         rows.append((STATISTICS, shard, -1, pack(_histogram(pair_total), np.array([(total > 0).sum(), total.sum(), seen.sum()]))))
         return _table(rows)
 
@@ -172,7 +176,11 @@ def _continue(group: pa.Table) -> pa.Table:
     lean()
     shard, parts, asked = group.column("shard")[0].as_py(), [], []
     for kind, chunk, p in zip(group.column("kind").to_pylist(), group.column("chunk").to_pylist(), group.column("payload").to_pylist(), strict=True):
-        parts.append(unpack(p)) if kind == CONTINUATIONS else asked.append((chunk, unpack(p)[0]))
+        if kind == CONTINUATIONS:
+            raw, small, large = unpack(p)
+            parts.append((_upper(raw), _whole(small, large)))
+        else:
+            asked.append((chunk, unpack(p)[0]))
     upper, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)]), return_inverse=True)
     n = np.bincount(at, np.concatenate([np.zeros(0), *(p[1] for p in parts)]), len(upper)).astype(np.int64)
     rows = []
@@ -180,7 +188,7 @@ def _continue(group: pa.Table) -> pa.Table:
         want = h >> np.uint64(24)
         i = np.minimum(np.searchsorted(upper, want), max(len(upper) - 1, 0))
         got = np.where(upper[i] == want, n[i], 0) if len(upper) else np.zeros(len(h), np.int64)
-        rows.append((ANSWER_CONTINUATIONS, shard, chunk, pack(got)))
+        rows.append((ANSWER_CONTINUATIONS, shard, chunk, pack(*_small(got))))
     rows.append((STATISTICS, shard, -1, pack(_histogram(n), np.array([n.sum()]))))
     return _table(rows)
 
@@ -224,11 +232,12 @@ def _score(bigram_kinds: np.ndarray, word_kinds: np.ndarray, vocabulary: int, to
     def fn(chunk: Chunk, answers: list[tuple[int, bytes]]) -> pa.Table:
         t = tokens_of(chunk)
         by = {kind: [unpack(p[1:]) for _, p in answers if p[0] == kind] for kind in (ANSWER_BIGRAMS, ANSWER_WORDS, ANSWER_CONTINUATIONS)}
-        column = lambda kind, i, empty: _mapped([np.zeros(0, empty), *(p[i] for p in by[kind])])
-        mass = column(ANSWER_BIGRAMS, 0, np.int64)
-        kinds = [column(ANSWER_BIGRAMS, i, np.uint32) for i in (1, 2, 3)]
-        pair = _mapped([np.zeros(0, np.int64), *(_whole(p[4], p[5]) for p in by[ANSWER_BIGRAMS])])
-        count, follows = column(ANSWER_WORDS, 1, np.int64), column(ANSWER_CONTINUATIONS, 0, np.int64)
+
+        def column(kind: int, i: int) -> np.ndarray:
+            return _mapped([np.zeros(0, np.int64), *(_whole(p[2 * i], p[2 * i + 1]) for p in by[kind])])
+
+        mass, *kinds, pair = (column(ANSWER_BIGRAMS, i) for i in range(5))
+        count, follows = column(ANSWER_WORDS, 0), column(ANSWER_CONTINUATIONS, 0)
         low = _less(follows, d1) / max(types, 1) + rest * uniform
         context, word = t.bigrams // len(t.vocabulary), t.bigrams % len(t.vocabulary)
         at = np.maximum(mass[context], 1)
@@ -261,8 +270,9 @@ def score_documents(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", te
     """
     chunks = chunked(docs, id_col, text_col)
     shards = shards_for(chunks)
-    first = materialize(emit(chunks, _count(shards, folds)).groupBy("shard").applyInArrow(_gather(shards), ROWS), "bigrams")
-    second = materialize(first.filter(F.col("kind").isin(ANSWER_WORDS, CONTINUATIONS)).groupBy("shard").applyInArrow(_continue, ROWS), "continuations")
+    first = materialize(emit(chunks, _count(shards, folds)).groupBy("shard").applyInArrow(_gather(shards, False), ROWS), "bigrams")
+    release(docs.sparkSession)
+    second = materialize(first.filter(F.col("kind").isin(ASKED, CONTINUATIONS)).groupBy("shard").applyInArrow(_continue, ROWS), "continuations")
 
     def statistics(rows: DataFrame) -> list[np.ndarray]:  # a row per shard
         got = [unpack(bytes(r[0])) for r in rows.filter(F.col("kind") == STATISTICS).select("payload").collect()]
@@ -285,5 +295,5 @@ def model_tables(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_
     """
     chunks = chunked(docs, id_col, text_col)
     shards = shards_for(chunks)
-    rows = emit(chunks, _count(shards, folds)).groupBy("shard").applyInArrow(_gather(shards), ROWS)
+    rows = emit(chunks, _count(shards, folds)).groupBy("shard").applyInArrow(_gather(shards, True), ROWS)
     return rows.filter(F.col("kind") == MODEL).select("shard", "payload")
