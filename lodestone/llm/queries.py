@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, jaccard_join, kd_search, kneser_ney, language_id, mixing, secrets, substring_dedup
+from lodestone.llm import decontaminate, html_extract, jaccard_join, kd_search, kneser_ney, language_id, mixing, secrets, substring_dedup, transcripts
 from lodestone.llm._spark import table
 
 
@@ -38,6 +38,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -51,6 +55,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    fold = F.crc32(F.col("conv_id").cast("string")) % 4
+    model = transcripts.train(turns.filter(fold != 2))
+    out = transcripts.format_chats(turns, model)
+    return out.select("conv_id", "turn", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.array_join("roles", ",").alias("roles"), "rendered")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -72,8 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_kneser_ney": op3_kneser_ney,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_html_extract": op5_html_extract,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
+    "op8_chat_format": op8_chat_format,
     "op9_secrets": op9_secrets,
     "op10_substring_dedup": op10_substring_dedup,
 }
