@@ -136,12 +136,12 @@ def _width(a: np.ndarray, width: int) -> np.ndarray:
 def _search(points: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     if not points.num_rows or not queries.num_rows:
         return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-    p, q = _matrix(points.column("v")), _matrix(queries.column("v"))
+    p, q = _matrix(points.column("point")), _matrix(queries.column("v"))
     width = max(p.shape[1], q.shape[1])
     p, q = _width(p, width), _width(q, width)
     if np.abs(p).max(initial=0) * np.abs(q).max(initial=0) * max(width, 1) >= 2**53:
         raise OverflowError("scores beyond 2**53 are not exact in double arithmetic; scale the vectors down")
-    tree = Tree(points.column("vec_id").to_numpy(), p)
+    tree = Tree(points.column("id").to_numpy(), p)
     ids = queries.column("vec_id").to_numpy()
     kth = queries.column("kth").to_numpy(zero_copy_only=False).astype(np.float64)
     kth[kth == float(NONE)] = -np.inf
@@ -183,7 +183,7 @@ def kd_top_k(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int
     def run(points: pa.Table, asked: pa.Table) -> pa.Table:
         return _search(points, asked, k)
 
-    points = rows.select("shard", "vec_id", "v").groupBy("shard")
+    points = rows.select(F.col("shard").alias("at"), F.col("vec_id").alias("id"), F.col("v").alias("point")).groupBy("at")
     home = materialize(points.cogroup(queries.withColumn("kth", F.lit(NONE)).groupBy("shard")).applyInArrow(run, RESULT), "home")
     kth = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(NONE)).alias("kth"))
     away = (
