@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Rows that a broadcast side may have; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,20 +34,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     Cuts the lineage so that a lost executor costs a re-read instead of the
-    whole job.  Files stay until :func:`clear_materialized`.
+    whole job.  Shuffle files of the write go with its end, as nothing reads
+    them again; the written files stay until :func:`clear_materialized`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now, rather than when the driver next collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def clear_materialized(spark: SparkSession) -> None:
     """Delete what :func:`materialize` wrote in this application; results still to be read from it are lost."""
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._chunks import Chunk, chunked, emit, shards_for, with_answers
-from lodestone.llm._spark import materialize, release
+from lodestone.llm._spark import materialize
 from lodestone.llm._tokens import lean, lowered, mix, pack, shard_cuts, unpack, words_of
 
 ROWS = "kind int, shard int, chunk bigint, payload binary"
@@ -106,8 +106,8 @@ def _count(shards: int, folds: int):
         for s in range(shards):
             a, b, p, q = cuts[s], cuts[s + 1], edges[s], edges[s + 1]
             if a < b:
-                follow = np.bincount(context[p:q] - a, minlength=b - a).astype(np.uint32)
-                yield s, pack(t.vocabulary[a:b], *_small(words[a:b]), follow, _followers(t.vocabulary[word[p:q]]), *_small(pairs[p:q]))
+                follow = np.bincount(context[p:q] - a, minlength=b - a)
+                yield s, pack(t.vocabulary[a:b], *_small(words[a:b]), *_small(follow), _followers(t.vocabulary[word[p:q]]), *_small(pairs[p:q]))
 
     return fn
 
@@ -134,9 +134,9 @@ def _gather(shards: int, keep: bool):
         total = np.bincount(at, np.concatenate([_whole(p[1], p[2]) for p in parts]), len(words)).astype(np.int64)
         # bigrams by context number and follower
         starts = np.cumsum([0, *(len(p[0]) for p in parts)])
-        context = np.concatenate([np.repeat(at[a:b], p[3]) for p, a, b in zip(parts, starts[:-1], starts[1:], strict=True)])
-        follower = np.concatenate([_upper(p[4]) for p in parts])
-        count = np.concatenate([_whole(p[5], p[6]) for p in parts])
+        context = np.concatenate([np.repeat(at[a:b], _whole(p[3], p[4])) for p, a, b in zip(parts, starts[:-1], starts[1:], strict=True)])
+        follower = np.concatenate([_upper(p[5]) for p in parts])
+        count = np.concatenate([_whole(p[6], p[7]) for p in parts])
         order = np.lexsort((follower, context))
         new = np.r_[True, (np.diff(context[order]) != 0) | (follower[order][1:] != follower[order][:-1])] if len(order) else np.zeros(0, bool)
         first = np.flatnonzero(new)
@@ -151,10 +151,10 @@ def _gather(shards: int, keep: bool):
         at_pair = 0
         for c, p, a, b in zip(chunks, parts, starts[:-1], starts[1:], strict=True):
             own = at[a:b]
-            k = len(p[4]) // 5
+            k = len(p[5]) // 5
             rows.append((ANSWER_BIGRAMS, shard, c, pack(*(y for x in (mass, *kinds) for y in _small(x[own])), *_small(pair_total[number[at_pair : at_pair + k]]))))
             rows.append((ANSWER_WORDS, shard, c, pack(*_small(total[own]))))
-            rows.append((ASKED, shard, c, pack(p[0])))
+            rows.append((ASKED, shard, c, pack(_followers(p[0]))))
             at_pair += k
         # in how many contexts each follower was seen, to the shard of that word
         upper, n = np.unique(pair_follower[seen], return_counts=True)
@@ -180,14 +180,13 @@ def _continue(group: pa.Table) -> pa.Table:
             raw, small, large = unpack(p)
             parts.append((_upper(raw), _whole(small, large)))
         else:
-            asked.append((chunk, unpack(p)[0]))
+            asked.append((chunk, _upper(unpack(p)[0])))
     upper, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)]), return_inverse=True)
     n = np.bincount(at, np.concatenate([np.zeros(0), *(p[1] for p in parts)]), len(upper)).astype(np.int64)
     rows = []
-    for chunk, h in asked:
-        want = h >> np.uint64(24)
+    for chunk, want in asked:
         i = np.minimum(np.searchsorted(upper, want), max(len(upper) - 1, 0))
-        got = np.where(upper[i] == want, n[i], 0) if len(upper) else np.zeros(len(h), np.int64)
+        got = np.where(upper[i] == want, n[i], 0) if len(upper) else np.zeros(len(want), np.int64)
         rows.append((ANSWER_CONTINUATIONS, shard, chunk, pack(*_small(got))))
     rows.append((STATISTICS, shard, -1, pack(_histogram(n), np.array([n.sum()]))))
     return _table(rows)
@@ -271,7 +270,6 @@ def score_documents(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", te
     chunks = chunked(docs, id_col, text_col)
     shards = shards_for(chunks)
     first = materialize(emit(chunks, _count(shards, folds)).groupBy("shard").applyInArrow(_gather(shards, False), ROWS), "bigrams")
-    release(docs.sparkSession)
     second = materialize(first.filter(F.col("kind").isin(ASKED, CONTINUATIONS)).groupBy("shard").applyInArrow(_continue, ROWS), "continuations")
 
     def statistics(rows: DataFrame) -> list[np.ndarray]:  # a row per shard
