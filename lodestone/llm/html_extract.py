@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._spark import broadcast_if_small, materialize
+from lodestone.llm._tokens import lean
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -217,6 +218,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             host, h, text = [], [], []
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -247,6 +249,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     @F.pandas_udf("string")
     def text(page, gone):
+        lean()
         return page.combine(gone, lambda p, g: extract(p or "", frozenset(g) if g is not None else None))
 
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))

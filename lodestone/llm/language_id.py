@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._tokens import Texts, pack, texts_of, unpack
+from lodestone.llm._tokens import Texts, lean, pack, texts_of, unpack
 from lodestone.llm.mixing import draw
 
 UNKNOWN = "und"
@@ -31,7 +31,7 @@ FAMILIES = {
 #: Documents of each language that training takes, about.
 TRAIN_PER_LANG = 400
 BUCKETS = 8192
-_PIECE = 1 << 21
+_PIECE = 1 << 20
 
 
 def family(lang: str) -> str:
@@ -182,6 +182,7 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, id_col: str = "doc_id
     fraction = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
@@ -212,6 +213,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def guess(texts):
         import pandas as pd
 
+        lean()
         lang, score = model.predict(texts_of(pa.array(texts, pa.string(), from_pandas=True)))
         return pd.DataFrame({"lang_pred": lang, "score": score})
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm._tokens import lean
+
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -144,6 +146,7 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in new])])
             spans = [(m.start() + int(a) * 4 // 3, m.start() + -(-int(b) * 4 // 3)) for a, b in zip(at[:-1], at[1:], strict=True)]
             spans = [(a, min(b, m.start() + len(body))) for a, b in spans]
+            spans[-1] = (spans[-1][0], m.end())  # with the padding
         start = layer.start if layer.start is not None else np.arange(len(layer.text))
         end = layer.end if layer.end is not None else np.arange(1, len(layer.text) + 1)
         yield Layer(new, start[np.array([a for a, _ in spans])], end[np.array([b for _, b in spans]) - 1])
@@ -197,6 +200,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+
         def rows(spans):
             return [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 
@@ -218,6 +223,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
 
     @F.pandas_udf("string")
     def clean(texts):
+        lean()
         return texts.map(lambda t: t if t is None else redacted(t, all_spans(t), mark))
 
     return docs.withColumn(text_col, clean(F.col(text_col)))
