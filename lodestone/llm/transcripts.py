@@ -35,7 +35,7 @@ _OF = {word: role for role, words in MARKERS.items() for word in words}
 _MARKER = re.compile(r"^[ \t]*(?:#+[ \t]*|\*\*|<\|?|\[)?(" + "|".join(sorted(_OF, key=len, reverse=True)) + r")(?:\|?>|\])?(?:\*\*)?[ \t]*[:>][ \t]*(?:\*\*[ \t]*)?", re.IGNORECASE | re.MULTILINE)
 SEGMENT = 256
 #: Counts added to what is learned; a marker's own role gets the larger one.
-PRIOR, MARKER_PRIOR = 0.5, 20.0
+PRIOR, MARKER_PRIOR = 0.5, 2000.0
 
 
 def units(text: str) -> list[tuple[str, str]]:
@@ -114,6 +114,11 @@ def train(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", t
     for f, n in seen.items():
         totals[f.split("=")[0]] = totals.get(f.split("=")[0], 0) + n + PRIOR
     logs = {f: np.log((n + PRIOR) / totals[f.split("=")[0]]) for f, n in seen.items()}
+    # a marker counts by the roles it was seen with, however rare it is with each; its absence says nothing
+    for r in ROLES:
+        n = seen[f"marker={r}"] + PRIOR
+        logs[f"marker={r}"] = np.log(n / n.sum())
+    logs["marker="] = np.zeros(len(ROLES))
 
     said = rows.groupBy("c", "t").agg(F.min("r").alias("r"))
     steps = said.alias("x").join(said.select("c", (F.col("t") + 1).alias("t"), F.col("r").alias("before")), ["c", "t"], "left")
