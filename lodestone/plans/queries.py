@@ -186,7 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_batch_topk": lambda s, d: _scores(_batch(s, d, BM25)),
     "corpus_hit_gate": lambda s, d: search.corpus_hits(_pruned(s, d, passages(s, d)), passages(s, d)),
     "dot_top10": lambda s, d: _scores(search.search_semantic(vectors(s, d), vector_queries(s, d).filter("query_id = 7"), 10)),
-    "squared_l2_top10": lambda s, d: _scores(search.top_k(vectors(s, d).crossJoin(vector_queries(s, d).filter("query_id = 7")).select("query_id", "chunk_id", (-vector.squared_l2(F.col("qvec"), F.col("vec"))).alias("score")), 10)),
+    "squared_l2_top10": lambda s, d: _scores(search.top_k(vectors(s, d).crossJoin(vector_queries(s, d).filter("query_id = 7")).select("query_id", "chunk_id", (0 - vector.squared_l2(F.col("qvec"), F.col("vec"))).alias("score")), 10)),
     "l2_normalize_norms": lambda s, d: vectors(s, d).select("chunk_id", F.round(vector.norm(vector.l2_normalize(F.transform("vec", lambda x: x * 3))), 6).alias("norm")),
     "semantic_batch_topk": lambda s, d: _scores(search.search_semantic(vectors(s, d), vector_queries(s, d), 10)),
     "ivf_assign": lambda s, d: ivf.assign(vectors(s, d), fixed_centroids(s, d)).select("chunk_id", "cid"),
@@ -317,7 +317,7 @@ ORACLE_SQL: dict[str, str] = {
     "bm25_batch_topk": _top(_scored(_ASKED)),
     "corpus_hit_gate": f"WITH {_scored(_ASKED)} SELECT query_id, sum(q_tf)::BIGINT AS n_terms, coalesce(sum(q_tf) FILTER (df > 0), 0)::BIGINT AS n_hits, coalesce(sum(q_tf) FILTER (df > 0), 0) >= CASE WHEN sum(q_tf) >= 3 THEN 2 ELSE 1 END AS passes FROM qt LEFT JOIN dfs USING (term) GROUP BY query_id",
     "dot_top10": _top(f"v AS ({_V}), q AS (SELECT * FROM v WHERE chunk_id = 7), sc AS (SELECT q.chunk_id AS query_id, v.chunk_id, {_DOT} AS score FROM q, v)"),
-    "squared_l2_top10": _top(f"v AS ({_V}), q AS (SELECT * FROM v WHERE chunk_id = 7), sc AS (SELECT q.chunk_id AS query_id, v.chunk_id, -list_sum(list_transform(list_zip(q.vec, v.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS score FROM q, v)"),
+    "squared_l2_top10": _top(f"v AS ({_V}), q AS (SELECT * FROM v WHERE chunk_id = 7), sc AS (SELECT q.chunk_id AS query_id, v.chunk_id, 0 - list_sum(list_transform(list_zip(q.vec, v.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS score FROM q, v)"),
     "l2_normalize_norms": f"WITH v AS ({_V}) SELECT chunk_id, CASE WHEN list_dot_product(vec, vec) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM v",
     "semantic_batch_topk": _top(f"{_NEAR}, sc AS (SELECT q.chunk_id AS query_id, v.chunk_id, {_DOT} AS score FROM q, v)"),
     "ivf_assign": f"WITH {_NEAR}, {_ASSIGN} SELECT chunk_id, cid FROM a",
