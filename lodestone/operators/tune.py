@@ -13,6 +13,8 @@ from lodestone.operators import search
 from lodestone.operators.evaluate import best_trial, mean_metrics, query_metrics
 from lodestone.operators.index import Index
 
+#: Configs whose sums are columns of one row; more configs take several rows for each hit.
+_BLOCK = 16
 _KNOBS = ("weight_semantic", "weight_bm25", "bm25_k1", "bm25_b", "semantic_hard_floor", "semantic_soft_floor", "bm25_min_for_soft_zone", "title_boost")
 
 
@@ -34,11 +36,22 @@ def trial_results(index: Index, vectors: DataFrame | None, queries: DataFrame, c
     """
     spark = index.chunks.sparkSession
     table = spark.createDataFrame([(i, c.k, *(float(getattr(c, n)) for n in _KNOBS)) for i, c in enumerate(configs)], ", ".join(["trial int", "k int", *(f"{n} double" for n in _KNOBS)]))
-    hits = index.posts.join(search.query_terms(queries), "term").join(index.df, "term").crossJoin(F.broadcast(index.stats)).crossJoin(F.broadcast(table))
-    tf = F.col("tf") + (F.greatest(F.col("title_boost"), F.lit(1.0)) - 1.0) * F.col("title_tf")
-    idf = F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("q_tf") * idf * tf * (F.col("bm25_k1") + 1) / (tf + F.col("bm25_k1") * (1 - F.col("bm25_b") + F.col("bm25_b") * F.col("doc_len") / F.col("avg_dl")))
-    rows = hits.groupBy("trial", "query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
+    width = min(_BLOCK, len(configs))
+    padded = [*configs, *configs[-1:] * (-len(configs) % width)]
+    blocks = [(i, *([float(getattr(c, n)) for c in padded[i : i + width]] for n in ("bm25_k1", "bm25_b", "title_boost"))) for i in range(0, len(padded), width)]
+    knobs = spark.createDataFrame(blocks, "first int, k1 array<double>, b array<double>, boost array<double>")
+    hits = index.posts.join(search.query_terms(queries), "term").join(index.df, "term").crossJoin(F.broadcast(index.stats)).crossJoin(F.broadcast(knobs))
+    weight = F.col("q_tf") * F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    hits = hits.select("first", "query_id", "chunk_id", "k1", "b", "boost", "tf", "title_tf", weight.alias("w"), (F.col("doc_len") / F.col("avg_dl")).alias("len"))
+
+    def part(i: int):
+        k1, b = F.col("k1")[i], F.col("b")[i]
+        tf = F.col("tf") + (F.greatest(F.col("boost")[i], F.lit(1.0)) - 1.0) * F.col("title_tf")
+        return F.sum(F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len")))).alias(f"s{i}")
+
+    sums = hits.groupBy("first", "query_id", "chunk_id").agg(*map(part, range(width)))
+    rows = sums.select("first", "query_id", "chunk_id", F.posexplode(F.array(*[f"s{i}" for i in range(width)])).alias("at", "bm25"))
+    rows = rows.select((F.col("first") + F.col("at")).alias("trial"), "query_id", "chunk_id", "bm25").filter(F.col("trial") < len(configs))
     if vectors is None:
         rows = rows.join(F.broadcast(table.select("trial", "k")), "trial").withColumn("score", F.col("bm25"))
     else:
@@ -49,7 +62,10 @@ def trial_results(index: Index, vectors: DataFrame | None, queries: DataFrame, c
         gate = F.when(F.col("semantic") < F.col("semantic_hard_floor"), False).when(F.col("semantic") < F.col("semantic_soft_floor"), F.col("norm") >= F.col("bm25_min_for_soft_zone")).otherwise(True)
         rows = rows.filter(gate)
     order = Window.partitionBy("trial", "query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= F.col("k")) | (F.col("k") <= 0)).select("trial", "query_id", "chunk_id", "score", "rank")
+    ranked, most = rows.withColumn("rank", F.row_number().over(order)), max(c.k for c in configs)
+    if all(c.k > 0 for c in configs):
+        ranked = ranked.filter(F.col("rank") <= most)  # a constant, so that each task cuts its part before the shuffle
+    return ranked.filter((F.col("rank") <= F.col("k")) | (F.col("k") <= 0)).select("trial", "query_id", "chunk_id", "score", "rank")
 
 
 def tune_query(index: Index, vectors: DataFrame | None, queries: DataFrame, labels: DataFrame, configs: list[QueryConfig], goal: str = "hit_rate") -> tuple[QueryConfig, float]:

@@ -12,6 +12,7 @@ from lodestone.functions import text, vector
 from lodestone.functions.embed import HashingEmbedder
 from lodestone.functions.stem import stemmed_vocabulary
 from lodestone.operators import chunking, evaluate, index, ivf, links, render, search, tune
+from lodestone.sources.tables import read_table
 
 QUESTION = "the ththe and tionth estion with"
 PROBES = 8
@@ -22,7 +23,7 @@ GRID = [QueryConfig(mode="bm25", k=5, bm25_k1=k1, bm25_b=b) for k1 in (0.8, 1.2,
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return read_table(spark, f"{d}/{name}.parquet")
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
