@@ -112,9 +112,8 @@ def _heading(spark: SparkSession, d: str) -> DataFrame:
     return chunking.by_heading(markdown(spark, d)).select("file", "ord", "title", F.md5("body").alias("body_md5"))
 
 
-def ascii_files(spark: SparkSession, d: str) -> DataFrame:
-    docs = _table(spark, d, "documents").filter(F.octet_length("text") == F.char_length("text"))
-    return docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file"), "text")
+def plain_files(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file"), "text")
 
 
 def linked(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +199,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ivf_hybrid_top10": _hybrid(HYBRID, True),
     "relevance_gate_counts": _gate_counts,
     "chunk_heading": _heading,
-    "chunk_size_windows": lambda s, d: chunking.by_size(ascii_files(s, d)).select("file", "ord", "title", F.md5("body").alias("body_md5")),
+    "chunk_size_windows": lambda s, d: chunking.by_size(plain_files(s, d)).select("file", "ord", "title", F.md5("body").alias("body_md5")),
     "chunk_length_filter": lambda s, d: chunking.length_limited(corpus(s, d), 200, 1000).select("chunk_id", F.octet_length("body").alias("bytes")),
     "wikilinks": lambda s, d: linked(s, d).select("chunk_id", F.array_join(text.links(F.col("linked")), ",").alias("links")),
     "link_target_norm": lambda s, d: corpus(s, d).select("chunk_id", text.link_key(F.col("file")).alias("key")),
@@ -216,7 +215,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hash_embed": lambda s, d: HashingEmbedder(32).embed(corpus(s, d).withColumn("t", F.concat_ws("\n", "title", "body")), "t").select("chunk_id", F.round(vector.norm(F.col("vec")), 6).alias("norm")),
 }
 
-# SQL ------------------------------------------------------------------------
+# SQL (none where bytes are cut inside characters, or models are trained) ------------------------------------------------------------------------
 
 _CORPUS = r"""
   docs AS (
@@ -334,10 +333,6 @@ ORACLE_SQL: dict[str, str] = {
       h AS (SELECT *, starts_with(line, '## ') AND NOT inside AS head FROM f), s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM h),
       p AS (SELECT doc_id, sec, max(substr(line, 4)) FILTER (head) AS named, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT head), ''), '^\s+|\s+$', '', 'g') AS body FROM s GROUP BY ALL)
       SELECT 'd/doc-' || doc_id || '.md' AS file, (row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1)::INTEGER AS ord, CASE WHEN sec = 0 THEN 'doc-' || doc_id ELSE named END AS title, md5(body) AS body_md5 FROM p WHERE body <> ''""",
-    "chunk_size_windows": r"""WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE strlen(text) = length(text) AND length(text) > 0),
-      w AS (SELECT doc_id, pos, regexp_replace(substr(text, pos + 1, 500), '^\s+|\s+$', '', 'g') AS body FROM (SELECT doc_id, text, unnest(range(0, greatest(ceil((n - 500) / 400.0), 0)::BIGINT * 400 + 1, 400)) AS pos FROM d)),
-      r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM w WHERE body <> '')
-      SELECT 'doc-' || doc_id AS file, (k - 1)::INTEGER AS ord, 'chunk-' || k AS title, md5(body) AS body_md5 FROM r""",
     "wikilinks": "SELECT doc_id AS chunk_id, CASE WHEN n = 1 THEN 'doc-0' ELSE 'doc-' || ((doc_id * 7 + 1) % n) || ',doc-' || ((doc_id * 7 + 2) % n) END AS links FROM documents, (SELECT count(*) AS n FROM documents) WHERE text IS NOT NULL",
     "link_target_norm": "SELECT doc_id AS chunk_id, 'doc-' || doc_id AS key FROM documents WHERE text IS NOT NULL",
     "link_expansion": f"""WITH {_scored(_q(QUESTION))}, p AS {_ranked('sc', 5)}, n AS (SELECT count(*) AS n FROM documents),

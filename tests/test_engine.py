@@ -95,6 +95,23 @@ def test_headings_fences_sizes_and_frontmatter(spark, tmp_path):
     assert [(r["file"], r["title"], r["tags"], r["links"]) for r in rows] == [("a.md", "Alpha · aliases: first", ["t1"], ["b"]), ("sub/b.txt", "Two", [], [])]
 
 
+def test_size_windows_cut_bytes(spark):
+    texts = {"a": "é" * 333 + " x" * 90, "b": "日本語 テキスト " * 60, "c": "plain", "d": " \n ", "e": "", "f": None, "g": "🙂a" * 200, "h": "w" * 500, "i": "w" * 501}
+    want = set()
+    for f, t in texts.items():
+        raw, at, k = (t or "").encode(), 0, 0
+        while raw:
+            body = raw[at : at + 500].decode("utf-8", "replace").strip()
+            if body:
+                want.add((f, k, f"chunk-{k + 1}", body))
+                k += 1
+            if at + 500 >= len(raw):
+                break
+            at += 400
+    files = spark.createDataFrame(list(texts.items()), "file string, text string")
+    assert {tuple(r) for r in chunking.by_size(files, 500, 100).collect()} == want
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(
         text.tokens(F.lit("A-b C_d é9x İz x")).alias("t"), text.links(F.lit("[[A]] [[a|b]] [[c#d|e]] [x] [[]]")).alias("l"),
