@@ -2,15 +2,16 @@
 
 A text is scanned as it is; then encoded parts are unwrapped into further
 layers, which are scanned and unwrapped in turn until nothing new appears.  A
-layer seen before isn't unwrapped again.  Each character of a layer knows the
-span of the original text it comes from, so a secret found deep down is
-reported where its encoding lies.
+layer seen before at the same place isn't unwrapped again.  Each character of a
+layer knows the span of the original text it comes from, so a secret found deep
+down is reported where its encoding lies, and as often as it is encoded.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -43,6 +44,10 @@ class Layer(NamedTuple):
     def span(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.start is None else (int(self.start[a]), int(self.end[a:b].max()))
 
+    def key(self) -> tuple[str, bytes]:
+        """Text and place: equal texts from other places are other layers."""
+        return self.text, b"" if self.start is None else hashlib.blake2b(self.start.tobytes() + self.end.tobytes(), digest_size=16).digest()
+
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the plain patterns: leftmost, not overlapping within a kind, too short ones dropped."""
@@ -155,15 +160,16 @@ def _base64(layer: Layer) -> Iterator[Layer]:
 def all_spans(text: str, base: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the plain patterns in the text and in every layer below it, in order."""
     found = set(base_spans(text) if base is None else base)
-    work, seen = [Layer(text, None, None)], {text}
+    work = [Layer(text, None, None)]
+    seen = {work[0].key()}
     while work:
         layer = work.pop()
         if layer.start is not None:
             found.update((kind, *layer.span(a, b)) for kind, a, b in base_spans(layer.text))
         for unwrap in (_url, _unicode, _base64):
             for below in unwrap(layer):
-                if below.text not in seen:
-                    seen.add(below.text)
+                if (key := below.key()) not in seen:
+                    seen.add(key)
                     work.append(below)
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -207,6 +207,16 @@ def test_secrets_in_layers(spark):
     assert secrets.redact_secrets(df).filter("text is null").count() == 1
 
 
+def test_secrets_repeated_layer():
+    hidden = "password=hunter2hunter2"
+    b64 = base64.b64encode(hidden.encode()).decode()
+    for layer in (b64, base64.b64encode(b64.encode()).decode(), base64.b64encode(gzip.compress(hidden.encode())).decode()):
+        text = f"first {layer} then {layer} end"
+        spans = secrets.all_spans(text)
+        assert [text[a:b].rstrip("=") for _, a, b in spans] == [layer.rstrip("=")] * 2
+        assert layer[:-2] not in secrets.redacted(text, spans)
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     parts = {"en": "th he in er an re".split(), "de": "sch ein ich und zu".split(), "fr": "eau oux ent que".split(), "es": "cion ado los que".split()}
