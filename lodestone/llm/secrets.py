@@ -10,7 +10,6 @@ down is reported where its encoding lies, and as often as it is encoded.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -30,8 +29,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_CONTROL = re.compile(r"[\x00-\x08\x0E-\x1F\x7F]")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
 
 class Layer(NamedTuple):
@@ -129,32 +127,37 @@ def _inflated(raw: bytes) -> bytes | None:
     return None
 
 
+def _leads(text: str) -> bool:
+    """Whether a text has a secret or anything to unwrap."""
+    return bool(_PERCENT.search(text) or _ESCAPE.search(text) or _BASE64.search(text) or base_spans(text))
+
+
 def _base64(layer: Layer) -> Iterator[Layer]:
+    """Runs decoded from each of the 4 alignments, as a path or a word can be glued to their front.
+
+    Bytes that aren't UTF-8 become lone surrogates (``surrogateescape``).
+    """
     for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").translate({45: 43, 95: 47})
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        try:
+        run = m[0].rstrip("=").translate({45: 43, 95: 47})
+        for skip in range(4):
+            body = run[skip:]
+            if len(body) % 4 == 1:
+                body = body[:-1]
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        wide = _inflated(raw)
-        try:
-            new = (raw if wide is None else wide).decode()
-        except UnicodeDecodeError:
-            continue
-        if not new or _CONTROL.search(new):
-            continue
-        if wide is not None:
-            spans = [(m.start(), m.end())] * len(new)
-        else:
-            at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in new])])
-            spans = [(m.start() + int(a) * 4 // 3, m.start() + -(-int(b) * 4 // 3)) for a, b in zip(at[:-1], at[1:], strict=True)]
-            spans = [(a, min(b, m.start() + len(body))) for a, b in spans]
-            spans[-1] = (spans[-1][0], m.end())  # with the padding
-        start = layer.start if layer.start is not None else np.arange(len(layer.text))
-        end = layer.end if layer.end is not None else np.arange(1, len(layer.text) + 1)
-        yield Layer(new, start[np.array([a for a, _ in spans])], end[np.array([b for _, b in spans]) - 1])
+            wide = _inflated(raw)
+            new = (raw if wide is None else wide).decode("utf-8", "surrogateescape")
+            if not _leads(new):
+                continue
+            at = m.start() + skip
+            if wide is not None:
+                low, high = np.full(len(new), at), np.full(len(new), m.end())
+            else:
+                edges = np.arange(len(new) + 1) if len(new) == len(raw) else np.cumsum([0, *(len(c.encode("utf-8", "surrogateescape")) for c in new)])
+                low, high = at + edges[:-1] * 4 // 3, np.minimum(at - (-edges[1:] * 4 // 3), at + len(body))
+                high[-1] = m.end()  # with the padding
+            start = layer.start if layer.start is not None else np.arange(len(layer.text))
+            end = layer.end if layer.end is not None else np.arange(1, len(layer.text) + 1)
+            yield Layer(new, start[low], end[high - 1])
 
 
 def all_spans(text: str, base: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:

@@ -217,6 +217,15 @@ def test_secrets_repeated_layer():
         assert layer[:-2] not in secrets.redacted(text, spans)
 
 
+@pytest.mark.parametrize("around", ["data={}", "?x={}&y=1", "path/to/{}", "x/{}", "xy-{}", "xyz_{}", "a=={}", "x/{}/tail"])
+def test_secrets_glued_base64(around):
+    layer = base64.b64encode(b"password=hunter2hunter2x").decode()
+    text = f"see {around.format(layer)} end"
+    spans = secrets.all_spans(text)
+    assert [k for k, *_ in spans] == ["assign"] and text[spans[0][1] :].startswith(layer)
+    assert layer not in secrets.redacted(text, spans) and secrets.redacted(text, spans).endswith(" end")
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     parts = {"en": "th he in er an re".split(), "de": "sch ein ich und zu".split(), "fr": "eau oux ent que".split(), "es": "cion ado los que".split()}
