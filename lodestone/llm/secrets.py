@@ -4,7 +4,9 @@ A text is scanned as it is; then encoded parts are unwrapped into further
 layers, which are scanned and unwrapped in turn until nothing new appears.  A
 layer seen before at the same place isn't unwrapped again.  Each character of a
 layer knows the span of the original text it comes from, so a secret found deep
-down is reported where its encoding lies, and as often as it is encoded.
+down is reported where its encoding lies, and as often as it is encoded.  Layers
+of bytes are text too: what isn't UTF-8 in them are lone surrogates
+(``surrogateescape``), from which gzip and zlib streams are read back.
 """
 
 from __future__ import annotations
@@ -29,7 +31,13 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+_REPR = re.compile(_ESCAPE.pattern + r"""|\\[nrt\\'"]""")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Starts of gzip and zlib streams, whose bytes are characters below 256 or escaped as lone surrogates.
+_MAGIC = re.compile(r"\x1f[\x8b\udc8b]\x08|x[\x01\x5e\x9c\udc9c\xda\udcda]")
+_STREAM = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+#: UTF-16 or UTF-32 text read as bytes.
+_WIDE = re.compile(r"(?:[^\x00]\x00){6,}|(?:[^\x00]\x00{3}){6,}")
 
 
 class Layer(NamedTuple):
@@ -71,34 +79,32 @@ def _spliced(layer: Layer, parts: list[tuple[int, int, str, list[tuple[int, int]
     return Layer("".join(text), np.concatenate([*starts, start[at:]]), np.concatenate([*ends, end[at:]]))
 
 
-def _char_spans(raw: bytes, decoded: str, unit: int, at: int) -> list[tuple[int, int]]:
-    """Spans of the characters of decoded, each of whose UTF-8 bytes is written with ``unit`` characters from ``at`` on."""
-    out = []
-    for c in decoded:
-        n = len(c.encode()) * unit
-        out.append((at, at + n))
-        at += n
-    return out
+def _edges(text: str) -> np.ndarray:
+    """Where the UTF-8 bytes of each character begin, and the end."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    escaped = (code >= 0xDC80) & (code < 0xDD00)
+    return np.cumsum(np.r_[0, np.where(escaped, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))])
 
 
 def _url(layer: Layer) -> Iterator[Layer]:
     parts = []
     for m in _PERCENT.finditer(layer.text):
-        raw = bytes.fromhex(m[0].replace("%", ""))
-        try:
-            new = raw.decode()
-            spans = _char_spans(raw, new, 3, m.start())
-        except UnicodeDecodeError:
-            new = raw.decode("latin-1")
-            spans = [(m.start() + 3 * i, m.start() + 3 * i + 3) for i in range(len(raw))]
-        parts.append((m.start(), m.end(), new, spans))
+        new = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
+        edges = (m.start() + 3 * _edges(new)).tolist()
+        parts.append((m.start(), m.end(), new, list(zip(edges[:-1], edges[1:], strict=True))))
     if parts:
         yield _spliced(layer, parts)
 
 
 def _unicode(layer: Layer) -> Iterator[Layer]:
+    """Escaped characters; where bytes are escaped, also with the short escapes that stand among them."""
+    for pattern in (_ESCAPE, _REPR) if "\\x" in layer.text else (_ESCAPE,):
+        yield from _unescaped(layer, pattern)
+
+
+def _unescaped(layer: Layer, pattern: re.Pattern[str]) -> Iterator[Layer]:
     parts = []
-    for m in _ESCAPE.finditer(layer.text):
+    for m in pattern.finditer(layer.text):
         s = m[0]
         if s.startswith("\\u"):
             units = [int(s[i + 2 : i + 6], 16) for i in range(0, len(s), 6)]
@@ -110,6 +116,8 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
                 spans.append((m.start() + 6 * i, m.start() + 6 * (i + 1 + pair)))
                 i += 1 + pair
             parts.append((m.start(), m.end(), "".join(new), spans))
+        elif len(s) == 2:
+            parts.append((m.start(), m.end(), {"n": "\n", "r": "\r", "t": "\t"}.get(s[1], s[1]), [(m.start(), m.end())]))
         else:
             code = int(s[3:-1], 16) if s[:3] in ("&#x", "&#X") else int(s[2:-1]) if s[0] == "&" else int(s[2:], 16)
             if code < 0x110000 and not 0xD800 <= code < 0xE000:
@@ -118,25 +126,63 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
         yield _spliced(layer, parts)
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0):
+def _inflated(raw: memoryview) -> tuple[bytes, int, bool] | None:
+    """What the gzip or zlib stream at the start of ``raw`` holds over all its members, its length, and whether it ends; None if it is none."""
+    out, at = b"", 0
+    while True:
+        stream = zlib.decompressobj(47)
         try:
-            return zlib.decompressobj(47).decompress(raw)
+            out += stream.decompress(raw[at:])
         except zlib.error:
-            return None
-    return None
+            return (out, at, True) if at else None
+        if not stream.eof:
+            return out, len(raw), False
+        at = len(raw) - len(stream.unused_data)
+        if not _STREAM.match(raw, at):
+            return out, at, True
+
+
+def _compressed(layer: Layer) -> Iterator[Layer]:
+    """Each gzip or zlib stream in the layer, whose bytes are its characters or their UTF-8."""
+    if not _MAGIC.search(layer.text):
+        return
+    code = np.frombuffer(layer.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.where((code >= 0xDC80) & (code < 0xDD00), code - 0xDC00, code)
+    views = {np.where(code < 256, code, 63).astype(np.uint8).tobytes(): np.arange(len(code) + 1)}
+    views.setdefault(layer.text.encode("utf-8", "surrogateescape"), _edges(layer.text))
+    for raw, edges in views.items():
+        view = memoryview(raw)
+        at = 0
+        while m := _STREAM.search(raw, at):
+            at = m.start() + 1
+            if (got := _inflated(view[m.start() :])) is None:
+                continue
+            if got[2]:
+                at = m.start() + got[1]
+            new = got[0].decode("utf-8", "surrogateescape")
+            if _leads(new):
+                a, b = np.searchsorted(edges, m.start(), "right") - 1, np.searchsorted(edges, m.start() + got[1])
+                span = layer.span(int(a), int(b))
+                yield Layer(new, np.full(len(new), span[0]), np.full(len(new), span[1]))
+
+
+def _wide(layer: Layer) -> Iterator[Layer]:
+    """UTF-16 and UTF-32 without the zero bytes."""
+    parts = []
+    for m in _WIDE.finditer(layer.text):
+        at = [i for i in range(m.start(), m.end()) if layer.text[i] != "\x00"]
+        parts.append((m.start(), m.end(), m[0].replace("\x00", ""), list(zip(at, [*at[1:], m.end()], strict=True))))
+    if parts:
+        yield _spliced(layer, parts)
 
 
 def _leads(text: str) -> bool:
     """Whether a text has a secret or anything to unwrap."""
-    return bool(_PERCENT.search(text) or _ESCAPE.search(text) or _BASE64.search(text) or base_spans(text))
+    return any(p.search(text) for p in (_PERCENT, _ESCAPE, _BASE64, _MAGIC, _WIDE)) or bool(base_spans(text))
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
-    """Runs decoded from each of the 4 alignments, as a path or a word can be glued to their front.
-
-    Bytes that aren't UTF-8 become lone surrogates (``surrogateescape``).
-    """
+    """Runs decoded from each of the 4 alignments, as a path or a word can be glued to their front."""
     for m in _BASE64.finditer(layer.text):
         run = m[0].rstrip("=").translate({45: 43, 95: 47})
         for skip in range(4):
@@ -144,17 +190,12 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             if len(body) % 4 == 1:
                 body = body[:-1]
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
-            wide = _inflated(raw)
-            new = (raw if wide is None else wide).decode("utf-8", "surrogateescape")
+            new = raw.decode("utf-8", "surrogateescape")
             if not _leads(new):
                 continue
-            at = m.start() + skip
-            if wide is not None:
-                low, high = np.full(len(new), at), np.full(len(new), m.end())
-            else:
-                edges = np.arange(len(new) + 1) if len(new) == len(raw) else np.cumsum([0, *(len(c.encode("utf-8", "surrogateescape")) for c in new)])
-                low, high = at + edges[:-1] * 4 // 3, np.minimum(at - (-edges[1:] * 4 // 3), at + len(body))
-                high[-1] = m.end()  # with the padding
+            at, edges = m.start() + skip, _edges(new)
+            low, high = at + edges[:-1] * 4 // 3, np.minimum(at - (-edges[1:] * 4 // 3), at + len(body))
+            high[-1] = m.end()  # with the padding
             start = layer.start if layer.start is not None else np.arange(len(layer.text))
             end = layer.end if layer.end is not None else np.arange(1, len(layer.text) + 1)
             yield Layer(new, start[low], end[high - 1])
@@ -169,7 +210,7 @@ def all_spans(text: str, base: list[tuple[str, int, int]] | None = None) -> list
         layer = work.pop()
         if layer.start is not None:
             found.update((kind, *layer.span(a, b)) for kind, a, b in base_spans(layer.text))
-        for unwrap in (_url, _unicode, _base64):
+        for unwrap in (_url, _unicode, _base64, _compressed, _wide):
             for below in unwrap(layer):
                 if (key := below.key()) not in seen:
                     seen.add(key)

@@ -226,6 +226,37 @@ def test_secrets_glued_base64(around):
     assert layer not in secrets.redacted(text, spans) and secrets.redacted(text, spans).endswith(" end")
 
 
+def test_secrets_compressed_to_a_fixpoint():
+    hidden = b"password=hunter2hunter2"
+    zipped, b64 = gzip.compress(hidden), lambda raw: base64.b64encode(raw).decode()
+    layers = {
+        "gzip in gzip": b64(gzip.compress(zipped)),
+        "zlib in base64 in gzip": b64(gzip.compress(base64.b64encode(zlib.compress(hidden)))),
+        "second member": b64(gzip.compress(b"nothing here ") + zipped),
+        "across members": b64(gzip.compress(hidden[:12]) + gzip.compress(hidden[12:])),
+        "behind other bytes": b64(b"\x00\xff\xfe" + zipped + b"\xff"),
+        "percent": "".join(f"%{x:02X}" for x in zipped),
+        "percent but letters": "".join(chr(x) if chr(x).isalnum() and x < 128 else f"%{x:02X}" for x in zipped),
+        "percent zlib": "".join(f"%{x:02X}" for x in zlib.compress(hidden)),
+        "escaped": "".join(f"\\x{x:02x}" for x in zipped),
+        "repr": repr(zipped),
+        "repr zlib": repr(zlib.compress(hidden)),
+        "NUL-separated": b64(b"a\x00" + hidden + b"\x00b"),
+        "bad byte": b64(b"\xff\x07" + hidden),
+        "UTF-16": b64(hidden.decode().encode("utf-16")),
+        "UTF-16 BE": b64(hidden.decode().encode("utf-16-be")),
+        "UTF-32": b64(hidden.decode().encode("utf-32-le")),
+        "gzipped UTF-16": b64(gzip.compress(hidden.decode().encode("utf-16-le"))),
+    }
+    missed = []
+    for name, layer in layers.items():
+        text = f"é {layer} end"
+        spans = secrets.all_spans(text)
+        if not any(k == "assign" and 2 <= a < b <= 2 + len(layer) for k, a, b in spans) or not secrets.redacted(text, spans).endswith(" end"):
+            missed.append(name)
+    assert not missed
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     parts = {"en": "th he in er an re".split(), "de": "sch ein ich und zu".split(), "fr": "eau oux ent que".split(), "es": "cion ado los que".split()}
