@@ -20,14 +20,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links of similarity 0.75 or more connect, the one with the least id stays.
+    """Of the rows that links of similarity 0.75 or more connect, the one with the least id stays, null ids last.
 
-    Of rows that repeat that id, one with the same text stays.
+    Rows go by a hash of all their columns, as ids can be null or repeated: of
+    rows that share an id and link with nothing, each stays.  Rows without
+    words link with nothing.
     """
-    kept = jaccard_join.jaccard_components(docs).filter("leader").select(F.col("doc_id").alias("kept"), F.col("n_shingles"))
-    leaders = kept.filter("kept is not null").select("kept").distinct()
-    once = docs.select(*COLUMNS).join(leaders, F.col("doc_id") == F.col("kept"), "left_semi")
-    return once.dropDuplicates(["doc_id"]).unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
+    rows = docs.select(F.xxhash64(*[F.col(c).isNull() for c in COLUMNS], *COLUMNS).alias("row"), *COLUMNS)
+    found = jaccard_join.jaccard_components(rows, id_col="row").select(F.col("doc_id").alias("row"), "component_id", (F.col("n_shingles") > 0).alias("linked")).distinct()
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    leaders = found.filter("linked").join(rows.select("row", "doc_id").distinct(), "row").groupBy("component_id").agg(F.min_by("row", rank).alias("row"))
+    once = rows.join(leaders.select("row"), "row", "left_semi").dropDuplicates(["row"])
+    return once.unionByName(rows.join(found.filter("not linked").select("row"), "row", "left_semi")).select(*COLUMNS)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

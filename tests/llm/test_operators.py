@@ -304,3 +304,31 @@ def test_pipeline(spark, docs, tmp_path):
     spark.createDataFrame([(1, "nothing of this kind is in there at all my friend")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(path))
     assert out.count() > 0 and set(corpus_pipeline.COLUMNS) <= set(out.columns)
+
+
+def test_pipeline_near_duplicates(spark, texts):
+    import corpus_pipeline
+
+    rows = [(None if i % 4 == 0 else i % 50, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    copy = next(t for t in texts if len(words(t)) > 100)
+    rows += [(None, copy, "en", "s", 1), (None, copy, "en", "s", 1), (7, copy, "en", "s", 1), (None, "", "en", "s", 0), (None, None, "en", "s", 0)]
+    sets = []
+    for _, t, *_ in rows:
+        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(t)]
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()})
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and root[i] != root[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                root = [root[j] if x == root[i] else x for x in root]
+    of = {(d, t): x for (d, t, *_), x in zip(rows, root, strict=True)}
+    least = defaultdict(list)
+    for (d, *_), x in zip(rows, root, strict=True):
+        least[x].append((d is None, d or 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    empties = [(d, t) for d, t, *_ in rows if not words(t)]
+    assert Counter(k for k in kept if not words(k[1])) == Counter(empties)
+    got = {of[k]: k[0] for k in kept if words(k[1])}
+    assert len(kept) - len(empties) == len(got)
+    assert {x: (d is None, d or 0) for x, d in got.items()} == {x: min(least[x]) for x in {x for x, s in zip(root, sets, strict=True) if s}}
