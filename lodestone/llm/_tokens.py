@@ -33,20 +33,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_HELD: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes or words that are hashed at a time: what a hash needs besides its result doesn't grow with a text.
+BLOCK = 1 << 17
 
 
-def _power(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, ``n`` each; only the longest arrays so far are kept."""
-    if kind not in _HELD or len(_HELD[kind][0]) < n:
-        out = []
-        for b in (_BASES[kind], pow(_BASES[kind], -1, 2**64)):
-            steps = np.full(-(-n // (1 << 18)) << 18, b, dtype=np.uint64)
-            steps[0] = 1
-            out.append(np.cumprod(steps, dtype=np.uint64))
-        _HELD[kind] = (out[0], out[1])
-    up, down = _HELD[kind]
-    return up[:n], down[:n]
+@cache
+def _power(kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for one block and a window's length more."""
+    out = []
+    for b in (_BASES[kind], pow(_BASES[kind], -1, 2**64)):
+        steps = np.full(BLOCK + (1 << 12), b, dtype=np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
 
 
 @cache
@@ -111,11 +110,33 @@ def words_of(texts: Texts) -> Words:
     end = np.flatnonzero(word & ~after) + 1
     doc = np.searchsorted(offsets, start, "right") - 1
     first = np.searchsorted(doc, np.arange(len(offsets)), "left")
-    up, down = _power("byte", n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return Words(start, end, doc, first, mix(h + (end - start).astype(np.uint64) * _BYTE[0]))
+    size = (end - start).astype(np.uint64)
+    return Words(start, end, doc, first, mix(_byte_sums(data, start, end) + size * _BYTE[0]))
+
+
+def _byte_sums(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial sum of the bytes of each word, words being in order."""
+    up, down = _power("byte")
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        low = start[at]
+        stop = int(np.searchsorted(end, low + BLOCK, "right"))
+        if stop == at:  # one word longer than a block: block by block
+            value = 0
+            for i in range(low, end[at], BLOCK):
+                part = data[i : min(i + BLOCK, end[at])]
+                value += int(np.sum(_BYTE[part] * up[: len(part)], dtype=np.uint64)) * pow(_BASES["byte"], int(i - low), 2**64)
+            out[at] = value % 2**64
+            at += 1
+            continue
+        part = data[low : end[stop - 1]]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
+        a = start[at:stop] - low
+        out[at:stop] = (total[end[at:stop] - low] - total[a]) * down[a]
+        at = stop
+    return out
 
 
 def window_hashes(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,24 +144,30 @@ def window_hashes(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(words.hash)
     fits = np.zeros(n, bool)
     out = np.zeros(n, np.uint64)
+    if length > 1 << 12:
+        raise ValueError("a window has 4096 words at most")
     if n >= length:
-        up, down = _power("word", n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(words.hash * up[:n], out=total[1:])
+        up, down = _power("word")
         k = n - length + 1
         fits[:k] = words.doc[:k] == words.doc[length - 1 :]
-        out[:k] = mix((total[length:] - total[:k]) * down[:k] + np.uint64(length))
+        for a in range(0, k, BLOCK):
+            b = min(a + BLOCK, k)
+            part = words.hash[a : b + length - 1]
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * up[: len(part)], out=total[1:])
+            out[a:b] = mix((total[length:] - total[: b - a]) * down[: b - a] + np.uint64(length))
     return out, fits
 
 
-def whole_hashes(words: Words) -> np.ndarray:
-    """Hash of all words of each text; equal to :func:`window_hashes` over a window of that length."""
-    n = len(words.hash)
-    up, down = _power("word", n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words.hash * up[:n], out=total[1:])
-    a, b = words.first[:-1], words.first[1:]
-    return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+def whole_hashes(words: Words, most: int) -> np.ndarray:
+    """Hash of all words of each text of at most ``most`` words; equal to :func:`window_hashes` over a window of that length."""
+    size = np.diff(words.first)
+    out = np.zeros(len(size), np.uint64)
+    up, _ = _power("word")
+    for k in range(most):
+        own = np.flatnonzero((size > k) & (size <= most))
+        out[own] += words.hash[words.first[own] + k] * up[k]
+    return mix(out + size.astype(np.uint64))
 
 
 def shard_cuts(sorted_hashes: np.ndarray, shards: int) -> np.ndarray:
