@@ -30,8 +30,12 @@ FAMILIES = {
 }
 #: Documents of each language that training takes, about.
 TRAIN_PER_LANG = 400
+#: Languages that training tells apart, the most frequent labels: a noisy label column can't grow the sample.
+MAX_LANGS = 256
+#: Documents that training takes over all languages, about; many languages have fewer each.
+MAX_ROWS = 8192
 BUCKETS = 8192
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def family(lang: str) -> str:
@@ -126,59 +130,73 @@ def _logistic(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 30) -> tuple[np.ndarray, float]:
-    """Linear SVM with the squared hinge loss by dual coordinate descent; y is +1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+def _svm(x: np.ndarray, own: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 30) -> np.ndarray:
+    """Weights, the last one being the bias, of a linear SVM over the rows ``own`` of x, by dual coordinate descent.
+
+    The loss is the squared hinge; y is +1 or -1; rows of x end with a 1.
+    """
     # both sides weigh the same, however many rows they have
     side = np.where(y > 0, len(y) / (2 * max((y > 0).sum(), 1)), len(y) / (2 * max((y < 0).sum(), 1)))
     diagonal = 1 / (2 * c * side)
-    norm = (x * x).sum(1) + diagonal
+    norm = np.array([x[i] @ x[i] for i in own]) + diagonal
     w, alpha, rng = np.zeros(x.shape[1]), np.zeros(len(y)), np.random.Generator(np.random.PCG64(7))
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            g = y[i] * (x[i] @ w) - 1 + diagonal[i] * alpha[i]
+            row = x[own[i]]
+            g = y[i] * (row @ w) - 1 + diagonal[i] * alpha[i]
             new = max(alpha[i] - g / norm[i], 0)
             if new != alpha[i]:
                 moved = max(moved, abs(new - alpha[i]))
-                w += (new - alpha[i]) * y[i] * x[i]
+                w += (new - alpha[i]) * y[i] * row
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w[:-1], float(w[-1])
+    return w
 
 
-def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
-    """A model from (language, trigram frequencies) rows."""
-    langs = sorted({lang for lang, _ in rows})
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
+    """A model from (language, trigram buckets, their frequencies) rows; they are held once more, as one matrix of 4-byte numbers."""
+    langs = sorted({lang for lang, *_ in rows})
     families = sorted({family(x) for x in langs})
     of = {f: [x for x in langs if family(x) == f] for f in families}
     pairs = {f: list(combinations(range(len(of[f])), 2)) for f in families}
     if not rows:
         return Model([], {}, {}, np.zeros((0, BUCKETS)), np.zeros(0))
-    x = np.array([v for _, v in rows])
-    scale = 1 / (x.std(0) + 1e-4) / np.sqrt(BUCKETS)
-    x = x * scale
-    y = np.array([lang for lang, _ in rows])
+    x = np.zeros((len(rows), BUCKETS + 1), np.float32)
+    for i, (_, at, value) in enumerate(rows):
+        x[i, at] = value
+    # the spread of each feature, without a second matrix
+    mean, square = x[:, :-1].mean(0, dtype=np.float64), np.einsum("ij,ij->j", x[:, :-1], x[:, :-1], dtype=np.float64) / len(x)
+    scale = 1 / (np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-4) / np.sqrt(BUCKETS)
+    x[:, :-1] *= scale.astype(np.float32)
+    x[:, -1] = 1
+    y = np.array([lang for lang, *_ in rows])
     fam = np.array([family(v) for v in y])
-    planes = [_svm(x, np.where(fam == f, 1.0, -1.0)) if len(families) > 1 else (np.zeros(BUCKETS), 0.0) for f in families]
+    every = np.arange(len(y))
+    planes = [_svm(x, every, np.where(fam == f, 1.0, -1.0)) if len(families) > 1 else np.zeros(BUCKETS + 1) for f in families]
     for f in families:
         for a, b in pairs[f]:
-            own = (y == of[f][a]) | (y == of[f][b])
-            planes.append(_svm(x[own], np.where(y[own] == of[f][a], 1.0, -1.0)))
-    return Model(families, of, pairs, np.array([w for w, _ in planes]) * scale, np.array([b for _, b in planes]))
+            own = np.flatnonzero((y == of[f][a]) | (y == of[f][b]))
+            planes.append(_svm(x, own, np.where(y[own] == of[f][a], 1.0, -1.0)))
+    return Model(families, of, pairs, np.array([w[:-1] for w in planes]) * scale, np.array([w[-1] for w in planes]))
 
 
-def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, max_langs: int = MAX_LANGS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from the labelled rows of ``docs``: a sample of about ``per_lang`` of each language, drawn by id, whole texts.
 
-    Rows without text, language or id are not learned from.
+    Rows without text, language or id are not learned from, nor are labels
+    beyond the ``max_langs`` most frequent ones (ties by name).  The sample has
+    about ``MAX_ROWS`` rows at most, whatever the size of ``docs``.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter("id is not null and text is not null and lang is not null")
-    share = {r["lang"]: min(1.0, per_lang / r["count"]) for r in rows.groupBy("lang").count().collect()}  # a row per language
+    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    each = min(per_lang, MAX_ROWS // max(len(often), 1))
+    share = {r["lang"]: min(1.0, each / r["count"]) for r in often}
     if not share:
         return fit([])
+    lean()
     fraction = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,15 +210,9 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, id_col: str = "doc_id
                 out.append(pack(at.astype(np.uint16), (counts[at] / max(len(bucket), 1)).astype(np.float32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["id", "lang", "f"])
 
-    got = rows.filter(draw(F.col("id"), "lang") < fraction).select(F.col("id").cast("long"), "text", "lang").mapInArrow(features, "id long, lang string, f binary").collect()
-    vectors = []
-    for r in sorted(got, key=lambda r: (r["id"], r["lang"], bytes(r["f"]))):
-        at, value = unpack(bytes(r["f"]))
-        if len(at):
-            v = np.zeros(BUCKETS, np.float32)
-            v[at] = value
-            vectors.append((r["lang"], v))
-    return fit(vectors)
+    got = rows.filter(F.col("lang").isin(*share) & (draw(F.col("id"), "lang") < fraction)).select(F.col("id").cast("long"), "text", "lang").mapInArrow(features, "id long, lang string, f binary").collect()
+    learned = [(r["lang"], *unpack(bytes(r["f"]))) for r in sorted(got, key=lambda r: (r["id"], r["lang"], bytes(r["f"])))]
+    return fit([r for r in learned if len(r[1])])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,13 +221,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     Columns of these names are replaced.
     """
 
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def guess(texts):
-        import pandas as pd
-
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def guess(texts: pa.Array) -> pa.Array:
         lean()
-        lang, score = model.predict(texts_of(pa.array(texts, pa.string(), from_pandas=True)))
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+        lang, score = model.predict(texts_of(texts))
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rows = docs.select(F.struct(*kept).alias("doc"), guess(F.col(text_col).cast("string")).alias("g"))
