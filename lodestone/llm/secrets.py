@@ -7,6 +7,11 @@ layer knows the span of the original text it comes from, so a secret found deep
 down is reported where its encoding lies, and as often as it is encoded.  Layers
 of bytes are text too: what isn't UTF-8 in them are lone surrogates
 (``surrogateescape``), from which gzip and zlib streams are read back.
+
+A stream is inflated piece by piece, however far it expands: beyond ``WINDOW``
+bytes it makes several layers, each overlapping the one before by ``OVERLAP``.
+One layer at a time is held for each depth of nesting.  A secret or an encoding
+that is longer than the overlap and lies across two windows is seen in parts.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -27,6 +32,7 @@ from lodestone.llm._tokens import lean
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
+_WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -36,8 +42,13 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Starts of gzip and zlib streams, whose bytes are characters below 256 or escaped as lone surrogates.
 _MAGIC = re.compile(r"\x1f[\x8b\udc8b]\x08|x[\x01\x5e\x9c\udc9c\xda\udcda]")
 _STREAM = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+#: Base64 broken into lines.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[ \t]*+\r?\n[ \t]*+)+[A-Za-z0-9+/_-]+={0,2}")
+_BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
 #: UTF-16 or UTF-32 text read as bytes.
 _WIDE = re.compile(r"(?:[^\x00]\x00){6,}|(?:[^\x00]\x00{3}){6,}")
+#: Bytes of an inflated layer at most, what the next one repeats of it, and what is inflated or fed at a time.
+WINDOW, OVERLAP, _PIECE, _FEED = 4 << 20, 64 << 10, 1 << 20, 64 << 10
 
 
 class Layer(NamedTuple):
@@ -50,33 +61,52 @@ class Layer(NamedTuple):
     def span(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.start is None else (int(self.start[a]), int(self.end[a:b].max()))
 
-    def key(self) -> tuple[str, bytes]:
-        """Text and place: equal texts from other places are other layers."""
-        return self.text, b"" if self.start is None else hashlib.blake2b(self.start.tobytes() + self.end.tobytes(), digest_size=16).digest()
+    def at(self) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.text)
+        return (np.arange(n), np.arange(1, n + 1)) if self.start is None else (self.start, self.end)
+
+    def one_place(self) -> bool:
+        """Whether all characters come from the same span."""
+        return self.start is not None and self.start.strides == (0,)
+
+    def key(self) -> bytes:
+        """Of text and place: equal texts from other places are other layers."""
+        digest = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        for part in self.at():
+            digest.update(part[:1].tobytes() + b"*" if self.one_place() else part.tobytes())
+        return digest.digest()
+
+
+def _from_one_place(text: str, start: int, end: int) -> Layer:
+    return Layer(text, np.broadcast_to(np.int64(start), len(text)), np.broadcast_to(np.int64(end), len(text)))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the plain patterns: leftmost, not overlapping within a kind, too short ones dropped."""
-    found = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    low = text.lower()
+    found = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6] if any(w in low for w in _WORDS) else []
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     return found
 
 
-def _spliced(layer: Layer, parts: list[tuple[int, int, str, list[tuple[int, int]]]]) -> Layer:
-    """The layer with [a, b) replaced by a decoded string each, whose characters come from the spans given with it."""
-    start = layer.start if layer.start is not None else np.arange(len(layer.text))
-    end = layer.end if layer.end is not None else np.arange(1, len(layer.text) + 1)
-    text, starts, ends, at = [], [], [], 0
-    for a, b, new, spans in parts:
+def _spliced(layer: Layer, parts: list[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Layer:
+    """The layer with [a, b) replaced by a decoded string each, whose characters come from the spans low:high of the layer."""
+    text, at = [], 0
+    for a, b, new, *_ in parts:
         text += [layer.text[at:a], new]
-        low, high = np.array([x for x, _ in spans], np.int64), np.array([y for _, y in spans], np.int64)
+        at = b
+    whole = "".join([*text, layer.text[at:]])
+    if layer.one_place():
+        return _from_one_place(whole, int(layer.start[0]), int(layer.end[0]))
+    start, end = layer.at()
+    starts, ends, at = [], [], 0
+    for a, b, _, low, high in parts:
         starts += [start[at:a], start[low]]
-        ends += [end[at:a], end[high - 1]]
+        ends += [end[at:a], end[np.asarray(high) - 1]]
         at = b
-    text.append(layer.text[at:])
-    return Layer("".join(text), np.concatenate([*starts, start[at:]]), np.concatenate([*ends, end[at:]]))
+    return Layer(whole, np.concatenate([*starts, start[at:]]), np.concatenate([*ends, end[at:]]))
 
 
 def _edges(text: str) -> np.ndarray:
@@ -88,16 +118,18 @@ def _edges(text: str) -> np.ndarray:
 
 def _url(layer: Layer) -> Iterator[Layer]:
     parts = []
-    for m in _PERCENT.finditer(layer.text):
+    for m in _PERCENT.finditer(layer.text) if "%" in layer.text else ():
         new = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
-        edges = (m.start() + 3 * _edges(new)).tolist()
-        parts.append((m.start(), m.end(), new, list(zip(edges[:-1], edges[1:], strict=True))))
+        edges = m.start() + 3 * _edges(new)
+        parts.append((m.start(), m.end(), new, edges[:-1], edges[1:]))
     if parts:
         yield _spliced(layer, parts)
 
 
 def _unicode(layer: Layer) -> Iterator[Layer]:
     """Escaped characters; where bytes are escaped, also with the short escapes that stand among them."""
+    if "\\" not in layer.text and "&#" not in layer.text:
+        return
     for pattern in (_ESCAPE, _REPR) if "\\x" in layer.text else (_ESCAPE,):
         yield from _unescaped(layer, pattern)
 
@@ -108,77 +140,123 @@ def _unescaped(layer: Layer, pattern: re.Pattern[str]) -> Iterator[Layer]:
         s = m[0]
         if s.startswith("\\u"):
             units = [int(s[i + 2 : i + 6], 16) for i in range(0, len(s), 6)]
-            new, spans, i = [], [], 0
+            new, low, high, i = [], [], [], 0
             while i < len(units):
                 pair = i + 1 < len(units) and 0xD800 <= units[i] < 0xDC00 <= units[i + 1] < 0xE000
                 code = 0x10000 + ((units[i] - 0xD800) << 10) + units[i + 1] - 0xDC00 if pair else units[i]
                 new.append("�" if 0xD800 <= code < 0xE000 else chr(code))
-                spans.append((m.start() + 6 * i, m.start() + 6 * (i + 1 + pair)))
+                low.append(m.start() + 6 * i), high.append(m.start() + 6 * (i + 1 + pair))
                 i += 1 + pair
-            parts.append((m.start(), m.end(), "".join(new), spans))
+            parts.append((m.start(), m.end(), "".join(new), low, high))
         elif len(s) == 2:
-            parts.append((m.start(), m.end(), {"n": "\n", "r": "\r", "t": "\t"}.get(s[1], s[1]), [(m.start(), m.end())]))
+            parts.append((m.start(), m.end(), {"n": "\n", "r": "\r", "t": "\t"}.get(s[1], s[1]), [m.start()], [m.end()]))
         else:
             code = int(s[3:-1], 16) if s[:3] in ("&#x", "&#X") else int(s[2:-1]) if s[0] == "&" else int(s[2:], 16)
             if code < 0x110000 and not 0xD800 <= code < 0xE000:
-                parts.append((m.start(), m.end(), chr(code), [(m.start(), m.end())]))
+                parts.append((m.start(), m.end(), chr(code), [m.start()], [m.end()]))
     if parts:
         yield _spliced(layer, parts)
 
 
-def _inflated(raw: memoryview) -> tuple[bytes, int, bool] | None:
-    """What the gzip or zlib stream at the start of ``raw`` holds over all its members, its length, and whether it ends; None if it is none."""
-    out, at = b"", 0
+def _inflate(raw: memoryview) -> Generator[bytes, None, tuple[int, bool] | None]:
+    """What the gzip or zlib stream at the start of ``raw`` holds over all its members, in pieces.
+
+    Returns its length and whether it ends; None if it is none.
+    """
+    begin = 0
     while True:
-        stream = zlib.decompressobj(47)
+        stream, at = zlib.decompressobj(47), begin
         try:
-            out += stream.decompress(raw[at:])
+            while at < len(raw) and not stream.eof:
+                data = raw[at : at + _FEED]
+                at += len(data)
+                while True:
+                    yield (piece := stream.decompress(data, _PIECE))
+                    data = stream.unconsumed_tail
+                    if stream.eof or (not data and len(piece) < _PIECE):
+                        break
         except zlib.error:
-            return (out, at, True) if at else None
+            return (begin, True) if begin else None
         if not stream.eof:
-            return out, len(raw), False
-        at = len(raw) - len(stream.unused_data)
-        if not _STREAM.match(raw, at):
-            return out, at, True
+            return len(raw), False
+        begin = at - len(stream.unused_data)
+        if not _STREAM.match(raw, begin):
+            return begin, True
+
+
+def _extent(raw: memoryview) -> tuple[int, bool] | None:
+    pieces = _inflate(raw)
+    while True:
+        try:
+            next(pieces)
+        except StopIteration as end:
+            return end.value
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    held, size = [], 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece)
+        if size >= WINDOW:
+            whole = b"".join(held)
+            yield whole
+            held, size = [whole[-OVERLAP:]], OVERLAP
+    yield b"".join(held)
 
 
 def _compressed(layer: Layer) -> Iterator[Layer]:
     """Each gzip or zlib stream in the layer, whose bytes are its characters or their UTF-8."""
-    if not _MAGIC.search(layer.text):
+    if ("\x1f" not in layer.text and "x" not in layer.text) or not _MAGIC.search(layer.text):
         return
     code = np.frombuffer(layer.text.encode("utf-32-le", "surrogatepass"), np.uint32)
     code = np.where((code >= 0xDC80) & (code < 0xDD00), code - 0xDC00, code)
-    views = {np.where(code < 256, code, 63).astype(np.uint8).tobytes(): np.arange(len(code) + 1)}
+    views = {np.where(code < 256, code, 63).astype(np.uint8).tobytes(): None}
     views.setdefault(layer.text.encode("utf-8", "surrogateescape"), _edges(layer.text))
     for raw, edges in views.items():
         view = memoryview(raw)
         at = 0
         while m := _STREAM.search(raw, at):
             at = m.start() + 1
-            if (got := _inflated(view[m.start() :])) is None:
+            if (got := _extent(view[m.start() :])) is None:
                 continue
-            if got[2]:
-                at = m.start() + got[1]
-            new = got[0].decode("utf-8", "surrogateescape")
-            if _leads(new):
-                a, b = np.searchsorted(edges, m.start(), "right") - 1, np.searchsorted(edges, m.start() + got[1])
-                span = layer.span(int(a), int(b))
-                yield Layer(new, np.full(len(new), span[0]), np.full(len(new), span[1]))
+            end = m.start() + got[0]
+            if got[1]:
+                at = end
+            a, b = (m.start(), end) if edges is None else (int(np.searchsorted(edges, m.start(), "right")) - 1, int(np.searchsorted(edges, end)))
+            span, met = layer.span(a, b), set()
+            for window in _windows(_inflate(view[m.start() :])):
+                if (key := hashlib.blake2b(window, digest_size=16).digest()) in met:
+                    continue
+                met.add(key)
+                if _leads(new := window.decode("utf-8", "surrogateescape")):
+                    yield _from_one_place(new, *span)
 
 
 def _wide(layer: Layer) -> Iterator[Layer]:
     """UTF-16 and UTF-32 without the zero bytes."""
     parts = []
-    for m in _WIDE.finditer(layer.text):
-        at = [i for i in range(m.start(), m.end()) if layer.text[i] != "\x00"]
-        parts.append((m.start(), m.end(), m[0].replace("\x00", ""), list(zip(at, [*at[1:], m.end()], strict=True))))
+    for m in _WIDE.finditer(layer.text) if "\x00" in layer.text else ():
+        low = m.start() + np.flatnonzero(np.frombuffer(m[0].encode("utf-32-le", "surrogatepass"), np.uint32))
+        parts.append((m.start(), m.end(), m[0].replace("\x00", ""), low, np.r_[low[1:], m.end()]))
     if parts:
         yield _spliced(layer, parts)
 
 
+def _lines(layer: Layer) -> Iterator[Layer]:
+    """Base64 without its line breaks."""
+    parts = [(m.start() + b.start(), m.start() + b.end(), "", np.zeros(0, np.int64), np.zeros(0, np.int64)) for m in _WRAPPED.finditer(layer.text) for b in _BREAK.finditer(m[0])]
+    if parts:
+        yield _spliced(layer, parts)
+
+
+#: A character that each kind of encoding needs, which is found much faster.
+_SIGNS = (("%", _PERCENT), ("\\", _ESCAPE), ("&", _ESCAPE), ("\x1f", _MAGIC), ("x", _MAGIC), ("\x00", _WIDE))
+
+
 def _leads(text: str) -> bool:
     """Whether a text has a secret or anything to unwrap."""
-    return any(p.search(text) for p in (_PERCENT, _ESCAPE, _BASE64, _MAGIC, _WIDE)) or bool(base_spans(text))
+    return any(sign in text and p.search(text) for sign, p in _SIGNS) or bool(_BASE64.search(text)) or bool(base_spans(text))
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
@@ -196,25 +274,30 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             at, edges = m.start() + skip, _edges(new)
             low, high = at + edges[:-1] * 4 // 3, np.minimum(at - (-edges[1:] * 4 // 3), at + len(body))
             high[-1] = m.end()  # with the padding
-            start = layer.start if layer.start is not None else np.arange(len(layer.text))
-            end = layer.end if layer.end is not None else np.arange(1, len(layer.text) + 1)
-            yield Layer(new, start[low], end[high - 1])
+            if layer.one_place():
+                yield _from_one_place(new, int(layer.start[0]), int(layer.end[0]))
+            else:
+                start, end = layer.at()
+                yield Layer(new, start[low], end[high - 1])
+
+
+def _below(layer: Layer) -> Iterator[Layer]:
+    for unwrap in (_url, _unicode, _lines, _base64, _compressed, _wide):
+        yield from unwrap(layer)
 
 
 def all_spans(text: str, base: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the plain patterns in the text and in every layer below it, in order."""
     found = set(base_spans(text) if base is None else base)
-    work = [Layer(text, None, None)]
-    seen = {work[0].key()}
+    seen: set[bytes] = set()
+    work = [_below(Layer(text, None, None))]
     while work:
-        layer = work.pop()
-        if layer.start is not None:
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+        elif (key := layer.key()) not in seen:
+            seen.add(key)
             found.update((kind, *layer.span(a, b)) for kind, a, b in base_spans(layer.text))
-        for unwrap in (_url, _unicode, _base64, _compressed, _wide):
-            for below in unwrap(layer):
-                if (key := below.key()) not in seen:
-                    seen.add(key)
-                    work.append(below)
+            work.append(_below(layer))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -271,9 +354,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span that :func:`scan_secrets` reports replaced by ``mark`` in the text; null stays null."""
 
-    @F.pandas_udf("string")
-    def clean(texts):
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
         lean()
-        return texts.map(lambda t: t if t is None else redacted(t, all_spans(t), mark))
+        return pa.array((None if (t := x.as_py()) is None else redacted(t, all_spans(t), mark) for x in texts), pa.string())
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    return docs.withColumn(text_col, clean(F.col(text_col).cast("string")))
