@@ -6,11 +6,12 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-#: Rows that a broadcast side may have; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a broadcast side may have; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -55,9 +56,27 @@ def clear_materialized(spark: SparkSession) -> None:
     path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when a count of at most ``rows + 1`` rows shows that it is small; ``df`` itself otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(value: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (StringType, BinaryType)):
+        size = F.octet_length(value) + 16
+    elif isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)):
+            size = F.aggregate(value, F.lit(16).cast("long"), lambda n, x: n + _bytes(x, kind.elementType))
+        else:
+            size = F.size(value) * 8 + 16
+    elif isinstance(kind, StructType):
+        size = sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    else:
+        size = F.lit(8)
+    return F.coalesce(size.cast("long"), F.lit(8).cast("long"))
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` when the sizes of its rows, summed first, show that it is small; ``df`` itself otherwise."""
+    row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
+    total = df.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, html_extract, jaccard_join, kd_search, kneser_ney, language_id, mixing, secrets, substring_dedup, transcripts
-from lodestone.llm._spark import table
+from lodestone.llm._spark import broadcast_if_small, materialize, table
 
 
 def op1_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,13 +18,14 @@ def op1_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), n=10)
+    digests = found.items.select(F.col("combo").alias("of"), F.size("items").cast("long").alias("n"), F.sha2(F.array_join("items", ","), 256).alias("sha"))
     n_hit = decontaminate.covered(F.col("hits"))
-    return found.select(
+    return found.docs.join(broadcast_if_small(materialize(digests, "digests")), F.col("combo") == F.col("of"), "left").select(
         F.col("id").alias("doc_id"),
         "n_words",
         n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ","), 256).alias("items_sha256"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
 
