@@ -155,7 +155,13 @@ def test_decontaminate(spark, docs, texts):
         for i in range(max(len(w) - 9, 1) if w else 0):
             wins[tuple(w[i : i + 10])].add(k)
     hits = 0
-    got = {r["doc"]: r for r in decontaminate.scan(docs, table).select(F.col("id").alias("doc"), "n_words", decontaminate.covered(F.col("hits")).alias("n"), F.array_sort("items").alias("items")).collect()}
+
+    def scanned(df, items):
+        found = decontaminate.scan(df, items)
+        rows = found.docs.join(found.items, "combo", "left").select("id", "n_words", decontaminate.covered(F.col("hits")).alias("n"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        return rows.collect()
+
+    got = {r["id"]: r for r in scanned(docs, table)}
     for i, t in enumerate(texts):
         w, gone, items = norm(t), set(), set()
         for a in range(len(w)):
@@ -163,12 +169,45 @@ def test_decontaminate(spark, docs, texts):
                 if tuple(w[a : a + len(key)]) == key:
                     gone |= set(range(a, a + len(key)))
                     items |= who
-        assert (got[i]["n_words"], got[i]["n"], got[i]["items"]) == (len(w), len(gone), sorted(items))
+        assert (got[i]["n_words"], got[i]["n"], got[i]["items"]) == (len(w), len(gone), sorted(map(str, items)))
         hits += bool(gone)
     assert hits and decontaminate.decontaminate(docs, table).count() == len(texts) - hits
     cut = decontaminate.decontaminate(docs, table, mode="spans").filter(F.col("text") == long)
     assert cut.count() == 0 and decontaminate.decontaminate(docs, table, mode="spans").count() == len(texts)
     assert decontaminate.decontaminate(docs, table.limit(0)).count() == len(texts)
+    assert scanned(docs.limit(0), table) == [] and decontaminate.decontaminate(docs.limit(0), table).count() == 0
+    # spans go with what is before their words, whatever the case; rows that repeat an id, null ids and clashing columns
+    passage = " ".join(f"q{i}" for i in range(12))
+    rows = [(1, f"É head, {passage.upper()}; tail.", "a"), (1, "clean text", "b"), (None, passage, "c"), (1, f"É head, {passage.upper()}; tail.", "a"), (None, None, "d")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, sign string").withColumn("id", F.lit("i")).withColumn("hits", F.lit("h"))
+    one = spark.createDataFrame([("x", passage), (None, passage)], "item_id string, text string")
+    assert sorted(str(r["text"]) for r in decontaminate.decontaminate(odd, one, mode="spans").collect()) == ["", "None", "clean text", "É head; tail.", "É head; tail."]
+    assert sorted(str(r["text"]) for r in decontaminate.decontaminate(odd, one).collect()) == ["None", "clean text"]
+    assert decontaminate.decontaminate(odd, one).columns == odd.columns
+    assert sorted((r["n"], r["items"]) for r in scanned(odd, one)) == [(0, []), (0, []), (12, ["x"]), (12, ["x"]), (12, ["x"])]
+
+
+def test_decontaminate_one_passage_in_all_items(spark):
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(30)]
+    items = [(i, " ".join([f"i{i}", *passage, *(f"v{rng.randrange(50)}" for _ in range(i % 13))])) for i in range(300)] + [(i, " ".join(passage[: i - 297])) for i in range(300, 306)]
+    texts = [" ".join([*(f"v{rng.randrange(50)}" for _ in range(rng.randrange(20))), *passage[rng.randrange(25) :], "i7", *passage[:9]]) for _ in range(120)]
+    windows = defaultdict(set)
+    for k, t in items:
+        w = t.split()
+        for i in range(max(len(w) - 9, 1)):
+            windows[tuple(w[i : i + 10])].add(str(k))
+    found = decontaminate.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r["id"]: (r["n"], r["items"]) for r in found.docs.join(found.items, "combo", "left").select("id", decontaminate.covered(F.col("hits")).alias("n"), "items").collect()}
+    for i, t in enumerate(texts):
+        w, gone, who = t.split(), set(), set()
+        for a in range(len(w)):
+            for k in range(1, 11):
+                if hit := windows.get(tuple(w[a : a + k])) if a + k <= len(w) else None:
+                    gone |= set(range(a, a + k))
+                    who |= hit
+        assert got[i] == (len(gone), sorted(who) if who else None)
+    assert found.items.count() <= 40
 
 
 def test_mixing(spark, docs, texts):
@@ -257,6 +296,41 @@ def test_secrets_compressed_to_a_fixpoint():
     assert not missed
 
 
+def test_secrets_in_wrapped_base64():
+    hidden = b"some words before it, password=hunter2hunter2, and some more words after that one to fill the lines"
+    for end, wide in (("\n", 64), ("\r\n  ", 76), (" \n", 40)):
+        run = base64.b64encode(hidden).decode()
+        layer = end.join(run[i : i + wide] for i in range(0, len(run), wide))
+        text = f"-----BEGIN-----\n{layer}\n-----END-----"
+        spans = secrets.all_spans(text)
+        assert any(k == "assign" and b - a > 20 for k, a, b in spans) and "hunter2" not in secrets.redacted(text, spans)
+        assert secrets.redacted(text, spans).startswith("-----BEGIN-----\n") and secrets.redacted(text, spans).endswith("\n-----END-----")
+
+
+def test_secrets_in_streams_that_expand_far():
+    import resource
+
+    rng = random.Random(3)
+    far = b"so " * (secrets.WINDOW - 3) + b" password=hunter2hunter2 " + b"so " * secrets.WINDOW
+    noise = bytes(rng.randrange(32, 127) for _ in range(2000)).replace(b"=", b"-").replace(b":", b"-")
+    bomb = gzip.compress(bytes(200 << 20))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for raw, found in ((gzip.compress(far), 1), (gzip.compress(gzip.compress(far)), 1), (gzip.compress(bomb), 0), (zlib.compress(noise * 50), 0)):
+        layer = base64.b64encode(raw).decode()
+        spans = [s for s in secrets.all_spans(f"a {layer} b") if s[0] == "assign" and s[1:] == (2, 2 + len(layer))]
+        assert len(spans) == found
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400 << 10
+
+
+def test_secrets_scan_of_odd_tables(spark):
+    rows = [(1, "secret=abcdefgh", "x"), (1, "secret=abcdefgh", "x"), (None, None, "x"), (2, "", "x"), (3, "w " * 200000 + "token: abcdefgh", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string").withColumn("base", F.lit(1))
+    got = sorted((r["doc_id"] or 0, [tuple(s) for s in r["spans"]]) for r in secrets.scan_secrets(df).collect())
+    assert got == [(0, []), (1, [("assign", 0, 15)]), (1, [("assign", 0, 15)]), (2, []), (3, [("assign", 400000, 400015)])]
+    assert secrets.scan_secrets(df.limit(0)).count() == 0 and secrets.redact_secrets(df.limit(0)).count() == 0
+    assert secrets.redact_secrets(df).filter("text = '[SECRET]'").count() == 2 and secrets.redact_secrets(df).columns == df.columns
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     parts = {"en": "th he in er an re".split(), "de": "sch ein ich und zu".split(), "fr": "eau oux ent que".split(), "es": "cion ado los que".split()}
@@ -278,6 +352,50 @@ def test_html(spark):
     assert got == {**{i: f"Own text {i}" for i in range(8)}, 98: "", 99: ""}
 
 
+def test_html_articles_with_listed_words_and_deep_pages():
+    assert html_extract.extract("<article class='social-science'><p>Kept</article>") == "Kept"
+    assert html_extract.extract("<article id='comments-on-kant'><p>Kept</article>") == "Kept"
+    assert html_extract.extract("<div class='social-science'><p>Kept</div><div class='share-buttons'>no</div><div id='newsletterSignup'>no</div><p>end") == "Kept\nend"
+    assert html_extract.extract("<article><p>Kept<article class='comment'>no</article></article>") == "Kept"
+    for tag in ("div", "font", "span"):
+        deep = html_extract.extract(f"<article>{f'<{tag}>' * 10000}deep{f'</{tag}>' * 10000}<p>after</article>")
+        assert deep == "deep\nafter"
+    assert html_extract.extract("<div>a" * 10000) == "\n".join("a" * 10000)
+    html_extract.template_hashes("<div><b>x</b>" * 10000)
+
+
+def test_html_templates_against_brute_force(spark):
+    rng = random.Random(6)
+    box = [f"<div class='t{i}'>Direct {i} <span class='s'>inner {i}</span></div>" for i in range(6)]
+    rows = []
+    for i in range(120):
+        host = f"h{rng.randrange(3) if i % 3 else 9}.example"
+        own = "".join(x for x in box if rng.random() < 0.4)
+        rows.append((i % 100, f"https://{host}/a/{i}", f"<body>{own}<article><h1>Title {i % 70}</h1><p>Same line<p>Body {i % 70} text</article><div class='u{i}'>only {i % 70}</div></body>", i))
+    rows += [(None, None, None, 0), (5, "x", "", 0), rows[0], rows[0]]
+    texts = [dict.fromkeys(re.findall("Direct (\\d)", h or "")) for _, _, h, _ in rows]
+    host = [html_extract.host_of(u) for _, u, *_ in rows]
+    main = [html_extract.extract(h or "") for _, _, h, _ in rows]
+    bare = [re.sub("<article>.*?</article>", "", h or "") for _, _, h, _ in rows]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, host int").withColumn("page", F.lit("p")).withColumn("gone", F.lit(1)).repartition(3))
+    want = Counter()
+    for (i, u, h, _), x, at in zip(rows, main, host, strict=True):
+        want[i, u, x, len(x)] += 1  # an article is the main text, whatever stands around it
+    assert Counter((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in got.collect()) == want
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    # without an article what recurs on enough pages with different text goes, with its direct text
+    plain = spark.createDataFrame([(i, u, b) for (i, u, *_), b in zip(rows, bare, strict=True)], "page_id long, url string, html string")
+    pages = {a: {m for m, x in zip(map(html_extract.extract, bare), host, strict=True) if x == a} for a in set(host)}
+    on = {(a, k): {html_extract.extract(b) for b, t, x in zip(bare, texts, host, strict=True) if x == a and k in t} for a in pages for k in "012345"}
+    gone = {key for key, p in on.items() if len(p) >= 5 and len(p) ** 2 >= len(pages[key[0]])}
+    rest = Counter()
+    for b, t, a in zip(bare, texts, host, strict=True):
+        kept = [f"Direct {k} inner {k}" for k in t if (a, k) not in gone]
+        rest["\n".join([*kept, *re.findall(r"only \d+", b)])] += 1
+    assert gone and Counter(r["text"] for r in html_extract.extract_pages(plain).collect()) == rest
+    assert html_extract.extract_pages(plain.limit(0)).count() == 0
+
+
 def test_transcripts(spark):
     rng = random.Random(4)
     said = {"system": "be short", "user": "why is it so?", "assistant": "because of this\nand that, at great length " * 4}
