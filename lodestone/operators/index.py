@@ -1,34 +1,55 @@
-"""The inverted index: postings, document frequencies and lengths of a chunk table."""
+"""The inverted index: postings, document frequencies and lengths of a chunk table, with the vectors that belong to it."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.stem import stemmed_vocabulary
 from lodestone.functions.text import tokens
+from lodestone.operators import ivf as ivf_
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 
 
 def tokenized(chunks: DataFrame) -> DataFrame:
-    """chunk_id, tags, title and body tokens, and doc_len, the number of both."""
+    """chunk_id, title and body tokens, and doc_len, the number of both."""
     t, b = tokens(F.col("title")), tokens(F.col("body"))
-    return chunks.select("chunk_id", "tags", t.alias("t"), b.alias("b")).withColumn("doc_len", F.size("t") + F.size("b"))
+    return chunks.select("chunk_id", t.alias("t"), b.alias("b")).withColumn("doc_len", F.size("t") + F.size("b"))
 
 
-def postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(term, chunk_id, tf, title_tf, doc_len, tags): tf counts title and body.
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens to postings: all rows of a batch are counted at once, as (row, token number) pairs."""
+    for batch in batches:
+        chunk, length, title, body = batch.columns
+        rows = [np.repeat(np.arange(batch.num_rows), np.diff(x.offsets.to_numpy())) for x in (title, body)]
+        words = pa.concat_arrays([title.flatten(), body.flatten()]).dictionary_encode()
+        n = max(len(words.dictionary), 1)
+        key = np.concatenate(rows) * n + words.indices.to_numpy()
+        found, at, tf = np.unique(key, return_inverse=True, return_counts=True)
+        in_title = np.bincount(at[: len(rows[0])], minlength=len(found))
+        row = pa.array(found // n)
+        yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(found % n)), chunk.take(row), pa.array(tf.astype(np.int64)), pa.array(in_title.astype(np.int64)), length.take(row)], names=["term", "chunk_id", "tf", "title_tf", "doc_len"])
 
-    With ``only`` (a table of terms of checked size), other terms are dropped
-    before the shuffle.
+
+def postings(chunks: DataFrame, stem: bool = False) -> DataFrame:
+    """(term, chunk_id, tf, title_tf, doc_len): tf counts title and body.
+
+    Tokens are counted where they are, batch by batch, so nothing is shuffled;
+    with ``stem`` the rows of a chunk's words with one stem are added up.
     """
-    words = F.concat(F.transform("t", lambda w: F.struct(w.alias("term"), F.lit(1).alias("title"))), F.transform("b", lambda w: F.struct(w.alias("term"), F.lit(0).alias("title"))))
-    rows = tokenized(chunks).select("chunk_id", "doc_len", "tags", F.explode(words).alias("w")).select("chunk_id", "doc_len", "tags", "w.term", "w.title")
-    if only is not None:
-        rows = rows.join(only.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.sum("title").alias("title_tf"), F.first("doc_len").alias("doc_len"), F.first("tags").alias("tags"))
+    rows = tokenized(chunks)
+    kind = rows.schema["chunk_id"].dataType.simpleString()
+    rows = rows.select("chunk_id", "doc_len", "t", "b").mapInArrow(_count, f"term string, chunk_id {kind}, tf long, title_tf long, doc_len int")
+    if not stem:
+        return rows
+    rows = rows.join(stemmed_vocabulary(rows), "term")
+    return rows.groupBy(F.col("stem").alias("term"), "chunk_id").agg(F.sum("tf").alias("tf"), F.sum("title_tf").alias("title_tf"), F.first("doc_len").alias("doc_len"))
 
 
 def term_df(posts: DataFrame) -> DataFrame:
@@ -43,30 +64,54 @@ def length_stats(chunks: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """A built index: tables to be searched any number of times."""
+    """A built index: tables to be searched any number of times; vectors (chunk_id, vec) and IVF where there are some."""
 
     chunks: DataFrame
     posts: DataFrame
     df: DataFrame
     stats: DataFrame
+    stem: bool = False
+    model: str = "none"
+    vectors: DataFrame | None = None
+    ivf: ivf_.IVF | None = None
 
     def save(self, path: str) -> None:
-        meta = self.stats.withColumn("schema_version", F.lit(SCHEMA_VERSION))
-        for name, table in (("chunks", self.chunks), ("postings", self.posts), ("term_df", self.df), ("index_meta", meta)):
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def build(chunks: DataFrame) -> Index:
-    posts = postings(chunks)
-    return Index(chunks, posts, term_df(posts), length_stats(chunks))
+        """Postings are in order of term, so that a search reads few row groups; vectors that lie in the IVF lists aren't written twice.
+
+        Document frequencies are counted from the postings as written, so that
+        texts are read and cut into tokens once.
+        """
+        spark = self.chunks.sparkSession
+        self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+        self.posts.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+        posts = spark.read.parquet(f"{path}/postings")
+        term_df(posts).write.mode("overwrite").parquet(f"{path}/term_df")
+        stats = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total_len")).crossJoin(spark.read.parquet(f"{path}/chunks").agg(F.count("*").alias("n_chunks")))
+        meta = stats.withColumns({
+            "avg_dl": F.when(F.col("n_chunks") > 0, F.col("total_len") / F.col("n_chunks")).otherwise(0.0),
+            "schema_version": F.lit(SCHEMA_VERSION), "stem": F.lit(self.stem), "model": F.lit(self.model),
+            "has_vectors": F.lit(self.vectors is not None), "has_ivf": F.lit(self.ivf is not None),
+        })
+        meta.write.mode("overwrite").parquet(f"{path}/index_meta")
+        if self.ivf is not None:
+            self.ivf.save(f"{path}/ivf")
+        elif self.vectors is not None:
+            self.vectors.select("chunk_id", "vec").write.mode("overwrite").parquet(f"{path}/vectors")
+
+
+def build(chunks: DataFrame, stem: bool = False) -> Index:
+    posts = postings(chunks, stem)
+    return Index(chunks, posts, term_df(posts), length_stats(chunks), stem)
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    """A saved index; one of another version, or whose parts disagree, is an error."""
+    """A saved index, with its vectors or IVF; one of another version, or whose parts disagree or are missing, is an error."""
     part = {n: spark.read.parquet(f"{path}/{n}") for n in ("chunks", "postings", "term_df", "index_meta")}
     meta = part["index_meta"].first()
-    if meta is None or not 1 <= meta["schema_version"] <= SCHEMA_VERSION:
+    if meta is None or meta["schema_version"] != SCHEMA_VERSION:
         raise ValueError("unsupported index version")
     if part["chunks"].count() != meta["n_chunks"]:
         raise ValueError("the index holds another number of chunks than its metadata says")
-    return Index(part["chunks"], part["postings"], part["term_df"], part["index_meta"].drop("schema_version"))
+    ivf = ivf_.load(spark, f"{path}/ivf") if meta["has_ivf"] else None
+    vectors = ivf.lists.select("chunk_id", "vec") if ivf else spark.read.parquet(f"{path}/vectors") if meta["has_vectors"] else None
+    return Index(part["chunks"], part["postings"], part["term_df"], part["index_meta"].select("n_chunks", "total_len", "avg_dl"), meta["stem"], meta["model"], vectors, ivf)

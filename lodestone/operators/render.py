@@ -27,8 +27,11 @@ def context_block(results: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
 
 
 def human(results: DataFrame) -> DataFrame:
-    """(query_id, rank, line); rows that links brought in say from where."""
+    """(query_id, rank, line); hybrid rows show both parts of their score, rows that links brought in say from where."""
     found = F.format_string("%d. %s — %s (%.3f)", "rank", "file", "title", "score")
+    if {"semantic", "norm"} <= set(results.columns):
+        both = F.format_string("%d. %s — %s (%.3f; semantic %.3f, bm25 %.3f)", "rank", "file", "title", "score", "semantic", "norm")
+        found = F.when(F.col("norm").isNotNull(), both).otherwise(found)
     linked = F.format_string("%d. %s — %s (linked from %s)", "rank", "file", "title", "linked_from")
     return results.select("query_id", "rank", F.when(F.col("linked_from").isNull(), found).otherwise(linked).alias("line"))
 

@@ -10,15 +10,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.config import QueryConfig
+from lodestone.config import QueryConfig, auto_shortlist
+from lodestone.functions.stem import stemmed_vocabulary
 from lodestone.functions.text import tokens
 from lodestone.functions.vector import dot
 from lodestone.operators.index import Index
+from lodestone.operators.links import expand
+from lodestone.operators.nearest import candidates
+from lodestone.sources.tables import stored
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, q_tf) of (query_id, query)."""
-    return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("q_tf"))
+#: Distinct query terms up to which the scan of the postings is told which it needs.
+PUSHED_TERMS = 256
+
+
+def query_terms(queries: DataFrame, stem: bool = False) -> DataFrame:
+    """(query_id, term, q_tf) of (query_id, query), with the stems of its words if ``stem``."""
+    words = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
+    if stem:
+        words = words.join(stemmed_vocabulary(words), "term").select("query_id", F.col("stem").alias("term"))
+    return words.groupBy("query_id", "term").agg(F.count("*").alias("q_tf"))
+
+
+def term_hits(index: Index, queries: DataFrame) -> DataFrame:
+    """The postings of the query terms, with query_id, q_tf, df and the corpus statistics.
+
+    Postings are stored in order of term, so for few terms the scan skips the
+    row groups without them.
+    """
+    q = query_terms(queries, index.stem)
+    terms = [r["term"] for r in q.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    posts, df = ((t.filter(F.col("term").isin(terms)) if len(terms) <= PUSHED_TERMS else t) for t in (index.posts, index.df))
+    return posts.join(q, "term").join(df, "term").crossJoin(F.broadcast(index.stats))  # one row
 
 
 def tag_filter(tags: Column, require: tuple[str, ...]) -> Column:
@@ -38,30 +61,33 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 def bm25_scores(index: Index, queries: DataFrame, cfg: QueryConfig) -> DataFrame:
     """(query_id, chunk_id, score); a repeated query term counts as often, the tags don't change document frequencies."""
-    q = query_terms(queries)
     tf = F.col("tf") + (max(cfg.title_boost, 1.0) - 1.0) * F.col("title_tf")
     idf = F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("q_tf") * idf * tf * (cfg.bm25_k1 + 1) / (tf + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("doc_len") / F.col("avg_dl")))
-    hits = index.posts.join(q, "term").join(index.df, "term").crossJoin(F.broadcast(index.stats))  # one row
-    return hits.filter(tag_filter(F.col("tags"), cfg.require_tags)).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    scored = term_hits(index, queries).groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    return scored.join(index.chunks.filter(tag_filter(F.col("tags"), cfg.require_tags)).select("chunk_id"), "chunk_id", "left_semi") if cfg.require_tags else scored
 
 
 def search_bm25(index: Index, queries: DataFrame, cfg: QueryConfig) -> DataFrame:
     return top_k(bm25_scores(index, queries, cfg).filter("score > 0"), cfg.k)
 
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of all (chunk_id, vec) against the stated (query_id, qvec)."""
-    return vectors.crossJoin(queries.select("query_id", "qvec")).select("query_id", "chunk_id", dot(F.col("qvec"), F.col("vec")).alias("score"))
+def search_semantic(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best of all (chunk_id, vec) for each stated (query_id, qvec); tags and floors don't count."""
+    return top_k(candidates(vectors, queries, k), k)
 
 
-def search_semantic(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    return top_k(cosine_scores(vectors, queries), k)
+def search_l2(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest by squared Euclidean distance, its negative as the score: the inner product of vectors with one component more."""
+    longer = vectors.select("chunk_id", F.concat(F.transform("vec", lambda x: 2 * x.cast("double")), F.array(0 - dot(F.col("vec"), F.col("vec")))).alias("vec"))
+    asked = queries.select("query_id", F.concat(F.col("qvec").cast("array<double>"), F.array(F.lit(1.0))).alias("qvec"))
+    own = queries.select("query_id", dot(F.col("qvec"), F.col("qvec")).alias("own"))
+    return top_k(candidates(longer, asked, k).join(own, "query_id").select("query_id", "chunk_id", (F.col("score") - F.col("own")).alias("score")), k)
 
 
 def corpus_hits(index: Index, queries: DataFrame, min_terms: int = 0) -> DataFrame:
     """(query_id, n_terms, n_hits, passes): query tokens, with repeats, that the corpus has; by default 2 are needed of 3 or more, else 1."""
-    q = query_terms(queries).join(index.df, "term", "left")
+    q = query_terms(queries, index.stem).join(index.df, "term", "left")
     out = q.groupBy("query_id").agg(F.sum("q_tf").alias("n_terms"), F.sum(F.when(F.col("df") > 0, F.col("q_tf")).otherwise(0)).alias("n_hits"))
     need = F.lit(min_terms) if min_terms > 0 else F.when(F.col("n_terms") >= 3, 2).otherwise(1)
     return out.withColumn("passes", F.col("n_hits") >= need)
@@ -74,11 +100,18 @@ def passes_gate(semantic: Column, norm: Column, cfg: QueryConfig) -> Column:
 
 def combined(rows: DataFrame, cfg: QueryConfig) -> DataFrame:
     """norm and score of (query_id, chunk_id, semantic, bm25): the maximum is taken before the gate."""
-    most = F.max("bm25").over(Window.partitionBy("query_id"))
-    rows = rows.withColumn("norm", F.when(most > 0, F.col("bm25") / most).otherwise(0.0))
+    most = rows.groupBy("query_id").agg(F.max("bm25").alias("most"))
+    rows = rows.join(most, "query_id").withColumn("norm", F.when(F.col("most") > 0, F.col("bm25") / F.col("most")).otherwise(0.0)).drop("most")
     return rows.withColumn("score", cfg.weight_semantic * F.col("semantic") + cfg.weight_bm25 * F.col("norm"))
 
 
+def _word_scores(index: Index, queries: DataFrame, cfg: QueryConfig) -> tuple[DataFrame, DataFrame]:
+    """The queries with enough words in the corpus, and their (query_id, chunk_id, bm25), each computed once: a hybrid search reads them several times."""
+    passing = corpus_hits(index, queries, cfg.min_query_terms_in_corpus).filter("passes").select("query_id")
+    asked = stored(queries.join(passing, "query_id", "left_semi"), "asked")
+    return asked, stored(bm25_scores(index, asked, cfg).withColumnRenamed("score", "bm25"), "bm25")
+
+
 def hybrid_scores(index: Index, vectors: DataFrame, queries: DataFrame, cfg: QueryConfig, shortlist: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, semantic, bm25, norm, score) before the gate.
 
@@ -86,39 +119,61 @@ def hybrid_scores(index: Index, vectors: DataFrame, queries: DataFrame, cfg: Que
     a ``shortlist`` (query_id, chunk_id, score): chunks in it or with BM25,
     and cosine 0 off it.
     """
-    asked = queries.join(corpus_hits(index, queries, cfg.min_query_terms_in_corpus).filter("passes").select("query_id"), "query_id", "left_semi")
-    bm25 = bm25_scores(index, asked, cfg).withColumnRenamed("score", "bm25")
+    asked, bm25 = _word_scores(index, queries, cfg)
     allowed = index.chunks.filter(tag_filter(F.col("tags"), cfg.require_tags)).select("chunk_id")
     if shortlist is None:
-        sem = allowed.join(vectors.select("chunk_id", "vec"), "chunk_id", "left").crossJoin(asked.select("query_id", "qvec"))
-        sem = sem.select("query_id", "chunk_id", F.coalesce(dot(F.col("qvec"), F.col("vec")), F.lit(0.0)).alias("semantic"))
-        rows = sem.join(bm25, ["query_id", "chunk_id"], "left")
+        near = candidates(vectors.join(allowed, "chunk_id", "left_semi"), asked, 0).withColumnRenamed("score", "semantic")
+        rows = allowed.crossJoin(asked.select("query_id")).join(near, ["query_id", "chunk_id"], "left").join(bm25, ["query_id", "chunk_id"], "left")
     else:
-        sem = shortlist.join(asked.select("query_id"), "query_id", "left_semi").join(allowed, "chunk_id").select("query_id", "chunk_id", F.col("score").alias("semantic"))
+        sem = shortlist.join(asked.select("query_id"), "query_id", "left_semi").join(allowed, "chunk_id", "left_semi").select("query_id", "chunk_id", F.col("score").alias("semantic"))
         rows = sem.join(bm25, ["query_id", "chunk_id"], "full")
     rows = rows.select("query_id", "chunk_id", F.coalesce("semantic", F.lit(0.0)).alias("semantic"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
     return combined(rows, cfg)
 
 
+def _contenders(index: Index, vectors: DataFrame, queries: DataFrame, cfg: QueryConfig) -> DataFrame:
+    """:func:`hybrid_scores` of the chunks that can be among the k best: those with BM25, and the k nearest.
+
+    With a hard floor above 0 a chunk without BM25 needs its cosine alone; if
+    it isn't among the k nearest, these pass the gate as well and score no less.
+    """
+    asked, bm25 = _word_scores(index, queries, cfg)
+    allowed = vectors.join(index.chunks.filter(tag_filter(F.col("tags"), cfg.require_tags)).select("chunk_id"), "chunk_id", "left_semi") if cfg.require_tags else vectors
+    near = candidates(allowed, asked, cfg.k).withColumnRenamed("score", "semantic")
+    own = bm25.join(vectors.select("chunk_id", "vec"), "chunk_id", "left").join(asked.select("query_id", "qvec"), "query_id")
+    own = own.select("query_id", "chunk_id", F.coalesce(dot(F.col("qvec"), F.col("vec")), F.lit(0.0)).alias("semantic"), "bm25")
+    rest = near.join(bm25.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("bm25", F.lit(0.0))
+    return combined(own.unionByName(rest), cfg)
+
+
 def search_hybrid(index: Index, vectors: DataFrame, queries: DataFrame, cfg: QueryConfig, shortlist: DataFrame | None = None) -> DataFrame:
     """The gate comes before the ranks, so that what it drops takes no place."""
-    rows = hybrid_scores(index, vectors, queries, cfg, shortlist)
+    few = shortlist is None and cfg.k > 0 and cfg.semantic_hard_floor > 0 and min(cfg.weight_semantic, cfg.weight_bm25) >= 0
+    rows = _contenders(index, vectors, queries, cfg) if few else hybrid_scores(index, vectors, queries, cfg, shortlist)
     return top_k(rows.filter(passes_gate(F.col("semantic"), F.col("norm"), cfg)), cfg.k)
 
 
-def backend(centroids: int = 0, nprobe: int = 0) -> str:
-    return f"ivf(K={centroids},nprobe={nprobe})" if centroids else "flat"
+def backend(index: Index) -> str:
+    """What a search by vectors goes through."""
+    return f"ivf(K={index.ivf.centroids.count()},nprobe={index.ivf.nprobe})" if index.ivf else "flat"
 
 
-def dispatch(index: Index, queries: DataFrame, cfg: QueryConfig, vectors: DataFrame | None = None, ivf=None) -> DataFrame:
-    """bm25, semantic, or hybrid for any other mode; through ``ivf`` (an :class:`~lodestone.operators.ivf.IVF`) if given; without vectors always bm25."""
-    from lodestone.config import auto_shortlist
+def dispatch(index: Index, queries: DataFrame, cfg: QueryConfig) -> DataFrame:
+    """(query_id, chunk_id, rank, score, linked_from, semantic, norm): bm25, semantic, or hybrid for any other mode, then link expansion.
 
-    if cfg.mode == "semantic" and vectors is None:
-        raise ValueError("semantic search needs vectors")
-    if cfg.mode == "bm25" or vectors is None:
-        return search_bm25(index, queries, cfg)
-    if cfg.mode == "semantic":
-        return ivf.search(queries, cfg.k, cfg.nprobe) if ivf else search_semantic(vectors, queries, cfg.k)
-    near = ivf.search(queries, cfg.n_semantic or auto_shortlist(cfg.k), cfg.nprobe).drop("rank") if ivf else None
-    return search_hybrid(index, vectors, queries, cfg, near)
+    A search by vectors goes through the index's IVF if it has one; it needs
+    vectors in the index and ``qvec`` in the queries.
+    """
+    if cfg.mode == "bm25":
+        found = search_bm25(index, queries, cfg)
+    elif index.vectors is None or "qvec" not in queries.columns:
+        raise ValueError(f"{cfg.mode} search needs vectors of the chunks and of the queries")
+    elif cfg.mode == "semantic":
+        found = index.ivf.search(queries, cfg.k, cfg.nprobe) if index.ivf else search_semantic(index.vectors, queries, cfg.k)
+    else:
+        near = index.ivf.search(queries, cfg.n_semantic or auto_shortlist(cfg.k), cfg.nprobe).drop("rank") if index.ivf else None
+        found = search_hybrid(index, index.vectors, queries, cfg, near)
+    score = F.col("score") if cfg.mode == "semantic" else F.lit(None).cast("double")
+    shown = found if "semantic" in found.columns else found.withColumn("semantic", score).withColumn("norm", F.lit(None).cast("double"))
+    links = expand(found, index.chunks, cfg.max_linked)
+    return links.join(shown.select("query_id", "chunk_id", "semantic", "norm"), ["query_id", "chunk_id"], "left")

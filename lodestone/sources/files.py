@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import IndexConfig
 from lodestone.functions.text import wanted
 from lodestone.operators import chunking
+from lodestone.sources.tables import stored
 
 
 def read_directory(spark: SparkSession, root: str, include: tuple[str, ...] = ("*.md", "*.markdown", "*.txt"), exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -67,9 +68,11 @@ def chunk_files(files: DataFrame, cfg: IndexConfig) -> DataFrame:
     parsed = frontmatter(files) if cfg.parse_frontmatter else files.select("file", "text", F.lit("").alias("fm_title"), none.alias("aliases"), none.alias("tags"))
     cut = chunking.by_size(parsed, cfg.chunk_size, cfg.chunk_overlap) if cfg.chunk_strategy == "size" else chunking.by_heading(parsed)
     rows = chunking.length_limited(chunking.with_frontmatter(cut, parsed.drop("text")), cfg.min_chunk_chars, cfg.max_chunk_chars)
-    ordered = rows.repartitionByRange(F.split("file", "/"), "ord").sortWithinPartitions(F.split("file", "/"), "ord")
-    names = ordered.columns
-    return ordered.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])).toDF(["chunk_id", *names])
+    ordered = stored(rows.repartitionByRange(F.split("file", "/"), "ord").sortWithinPartitions(F.split("file", "/"), "ord").select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), "*"), "ordered")
+    parts = ordered.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
+    offsets = parts.select("part", (before - F.col("first")).alias("offset"))
+    return ordered.join(F.broadcast(offsets), "part").select((F.col("at") + F.col("offset")).alias("chunk_id"), *rows.columns)
 
 
 def read_eval_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

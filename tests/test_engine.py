@@ -52,9 +52,15 @@ def test_gate_comes_before_top_k(spark):
     vecs = spark.createDataFrame([(0, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, [0.95, 0.31])], "chunk_id long, vec array<double>")
     q = queries(spark, "alpha beta").withColumn("qvec", F.array(F.lit(1.0), F.lit(0.0)))
     assert ids(search.search_hybrid(built, vecs, q, QueryConfig(k=3))) == [3, 4]
-    assert ids(search.dispatch(built, q, QueryConfig(k=3), vecs)) == [3, 4]
     with pytest.raises(ValueError):
         search.dispatch(built, q, QueryConfig(mode="semantic"))
+    built.vectors = vecs
+    assert ids(search.dispatch(built, q, QueryConfig(k=3))) == [3, 4]
+    # the short way over the contenders and the long way over all chunks
+    for k in (1, 2, 5):
+        cfg = QueryConfig(k=k, semantic_hard_floor=0.01, semantic_soft_floor=0.02)
+        long = search.hybrid_scores(built, vecs, q, cfg).filter(search.passes_gate(F.col("semantic"), F.col("norm"), cfg))
+        assert ids(search.search_hybrid(built, vecs, q, cfg)) == ids(search.top_k(long, k))
 
 
 def test_ivf_with_all_lists_equals_flat(spark, tmp_path):
@@ -132,6 +138,7 @@ def test_links_expand_once_and_in_order(spark, chunks):
     rows = links.expand(found, chunks, 3).orderBy("rank").collect()
     assert [(r["chunk_id"], r["linked_from"]) for r in rows] == [(0, None), (2, "fruit.md")]
     assert links.expand(found, chunks, 0).count() == 1
+    assert sorted(search.dispatch(index.build(chunks), queries(spark, "apple"), QueryConfig(mode="bm25", k=1)).columns) == ["chunk_id", "linked_from", "norm", "query_id", "rank", "score", "semantic"]
 
 
 def test_context_block_stops_at_the_limit(spark):
@@ -144,8 +151,8 @@ def test_tuning_is_no_worse_than_the_baseline(spark, chunks):
     q = queries(spark, "apple branches", "engine oil", "pears cellar")
     labels = spark.createDataFrame([(0, "fruit.md", False), (1, "Engine", True), (2, "fruit.md", False)], "query_id long, label string, is_title boolean")
     configs = tune.sampled(QueryConfig(mode="bm25", k=3), 5)
-    _, base = tune.tune_query(index.build(chunks), None, q, labels, configs[:1], "mrr")
-    best, score = tune.tune_query(index.build(chunks), None, q, labels, configs, "mrr")
+    _, base = tune.tune_query(index.build(chunks), q, labels, configs[:1], "mrr")
+    best, score = tune.tune_query(index.build(chunks), q, labels, configs, "mrr")
     assert score >= base > 0 and best in configs
 
 
@@ -166,6 +173,121 @@ def test_saved_index_and_settings(spark, chunks, tmp_path):
     assert not use_ivf(IndexConfig(), 9999, 0) and use_ivf(IndexConfig(), 5000, 8)
 
 
+def test_postings_count_titles_and_bodies(spark, chunks):
+    from collections import Counter
+
+    rows = [(i, "f", t, b, [], []) for i, (t, b) in enumerate([("aa aa bb", "aa cc cc"), ("", ""), ("xx-1 xx", "xx xx-1 x xx-1"), (None, "zz"), ("zz", None), ("Ab ab- ab_ AB", "ab-")])]
+    got = {(r["chunk_id"], r["term"]): (r["tf"], r["title_tf"]) for r in index.postings(spark.createDataFrame(rows, CHUNKS)).collect()}
+    want = {}
+    for i, _, t, b, *_ in rows:
+        import re
+
+        t, b = (re.findall("[a-z0-9_-]{2,}", (x or "").lower()) for x in (t, b))
+        every = Counter(t + b)
+        want |= {(i, w): (n, t.count(w)) for w, n in every.items()}
+    assert got == want
+    stemmed = index.build(chunks, stem=True)
+    cfg = QueryConfig(mode="bm25", k=3)
+    assert ids(search.search_bm25(stemmed, queries(spark, "pruned apple"), cfg)) == [0] and ids(search.search_bm25(index.build(chunks), queries(spark, "pruned"), cfg)) == []
+    assert {r["term"]: r["df"] for r in stemmed.df.collect()}["engin"] == 1
+
+
+def test_learn_recall_and_tune_with_vectors(spark, tmp_path, capsys):
+    from lodestone import engine
+    from lodestone.functions import models
+
+    root = tmp_path / "docs"
+    root.mkdir()
+    for i in range(12):
+        (root / f"n{i:02}.md").write_text(f"about topic{i} and subject{i}, see [[n{(i + 1) % 12:02}]]\n## More{i}\nfurther detail{i} on topic{i}")
+    files = read_directory(spark, str(root))
+    cfg = IndexConfig(model="hash-64", ivf_centroids=4, ivf_nprobe=4)
+    flat, lists = engine.make_index(files, cfg), engine.make_index(files, cfg, True)
+    assert flat.ivf is None and lists.ivf.centroids.count() == 4 and search.backend(lists) == "ivf(K=4,nprobe=4)" and search.backend(flat) == "flat"
+    lists.save(str(tmp_path / "ivf"))
+    flat.save(str(tmp_path / "flat"))
+    assert not (tmp_path / "ivf" / "vectors").exists()  # they lie in the lists
+    q = engine.with_vectors(engine.questions(spark, "topic3 subject3"), "hash-64")
+    for mode in ("hybrid", "semantic", "bm25"):
+        asked = QueryConfig(mode=mode, k=3, max_linked=1)
+        shown = [ids(search.dispatch(i, q, asked)) for i in (flat, lists, index.load(spark, str(tmp_path / "flat")), index.load(spark, str(tmp_path / "ivf")))]
+        assert shown[0][0] == 6 and len(shown[0]) >= 2 and all(x == shown[0] for x in shown)
+    rows = engine.recall(flat, engine.questions(spark, "topic3 subject3"), QueryConfig(k=1, max_linked=2)).orderBy("rank").collect()
+    assert [(r["file"], r["linked_from"]) for r in rows] == [("n03.md", None), ("n04.md", "n03.md")]
+    # settings follow what the index has
+    bare = engine.make_index(files, IndexConfig(stem=True))
+    assert engine.settled(bare, QueryConfig()).mode == "bm25" and engine.settled(bare, QueryConfig()).title_boost == 2.0 and engine.settled(flat, QueryConfig()).mode == "hybrid"
+    with pytest.raises(ValueError):
+        engine.settled(bare, QueryConfig(mode="semantic"), mode_given=True)
+    # tuning, of the search with linked rows, and of the build
+    labels = spark.createDataFrame([(0, "n03.md", False)], "query_id long, label string, is_title boolean")
+    base = QueryConfig(k=2, max_linked=1, require_tags=())
+    for made in (flat, lists):
+        best, score = tune.tune_query(made, q, labels, tune.sampled(base, 3), "mrr")
+        assert score == pytest.approx(1.0) and best == base
+    best, score = tune.tune_index(lambda c: engine.make_index(files, c), lambda x: engine.with_vectors(x, "hash-64"), engine.questions(spark, "topic3 subject3"), labels, tune.drawn(cfg, 2), base)
+    assert score == pytest.approx(1.001) and best == cfg
+    assert len(tune.drawn(cfg, 0)) == 9 and all(c.chunk_overlap < c.chunk_size for c in tune.drawn(cfg, 50))
+    # the index is checked as it is loaded
+    import shutil
+
+    shutil.rmtree(tmp_path / "ivf" / "ivf" / "lists" / "cid=0", ignore_errors=True)
+    with pytest.raises(ValueError):
+        index.load(spark, str(tmp_path / "ivf"))
+    wrong = q.withColumn("qvec", F.array(F.lit(1.0)))
+    assert search.dispatch(lists, wrong, QueryConfig(mode="semantic", k=3)).count() == 0
+
+
+def test_ivf_recall_on_clustered_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(20, 16))
+    x = centers[np.arange(1000) % 20] + 0.2 * rng.normal(size=(1000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, vec array<double>")
+    q = vecs.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("qvec"))
+    built = ivf.build(vecs, ivf.train(vecs, 20), 4)
+    flat = {(r["query_id"], r["chunk_id"]) for r in search.search_semantic(vecs, q, 10).collect()}
+    found = {(r["query_id"], r["chunk_id"]) for r in built.search(q, 10).collect()}
+    want = {(int(i), int(j)) for i in range(0, 1000, 20) for j in np.lexsort((np.arange(1000), -np.round(x @ x[i], 9)))[:10]}
+    assert flat == want and len(flat & found) / len(flat) >= 0.9
+    few = ivf.CENTROID_BYTES
+    try:
+        ivf.CENTROID_BYTES = 0  # centroids dealt out in blocks
+        assert ivf.assign(vecs, built.centroids).select("cid", "chunk_id").exceptAll(built.lists.select("cid", "chunk_id")).count() == 0
+    finally:
+        ivf.CENTROID_BYTES = few
+
+
+def test_models_and_tokenizers(tmp_path, monkeypatch):
+    from lodestone.functions import models
+
+    assert models.resolve("").dim == 384 and models.resolve("none").dim == 0 and models.resolve("hash-16").dim == 16 and len(models.MODELS) == 5
+    with pytest.raises(ValueError):
+        models.resolve("other")
+    monkeypatch.setenv("LODESTONE_MODELS", str(tmp_path))
+    assert len(models.missing(models.resolve(""))) == 2
+    with pytest.raises(FileNotFoundError):
+        models.embedder("bge-base-en-v1.5")
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps({"model": {"vocab": {"a": 0}}, "truncation": {"max_length": 64}}))
+    assert models.load_tokenizer(path) == ({"a": 0}, 64) and models.load_tokenizer(path, 512)[1] == 512
+    path.write_text("{}")
+    with pytest.raises(ValueError):
+        models.load_tokenizer(path)
+
+
+def test_passages_find_their_chunks(spark, chunks):
+    rows = [(0, "apple branches in"), (1, "Engine\nchange the oil of the"), (2, "oil of"), (3, "ear"), (4, "pple branch"), (5, "no such words here"), (6, "the oil, of the")]
+    q = spark.createDataFrame(rows, "query_id long, query string")
+    from lodestone.operators import evaluate
+
+    got = {(r["query_id"], r["chunk_id"]) for r in evaluate.holders(index.build(chunks), q).collect()}
+    text = {r["chunk_id"]: f"{r['title']}\n{r['body']}" for r in chunks.collect()}
+    assert got == {(i, c) for i, t in rows for c, x in text.items() if t in x} and (4, 0) in got
+
+
 def test_stems_and_embedders(spark):
     assert [stem(w) for w in ("running", "connections", "hopping", "happily", "ipv4", "a-b", "skies", "generously")] == ["run", "connect", "hop", "happili", "ipv4", "a-b", "sky", "generous"]
     df = spark.createDataFrame([("same words",), ("same words",)], "t string")
