@@ -1,27 +1,32 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, and the scores of texts under it.
-
-Counting: a chunk of documents sends each of its words and bigrams once to a
-shard of the hash space, with its training count.  A shard holds all bigrams
-of its contexts and keeps them as sorted hash arrays: contexts, followers,
-counts.  It answers each chunk with what the chunk asked for, in the chunk's
-own order.  Continuation counts travel between shards in the same way.
-
-Scoring: a worker maps the answers for its chunk from a file in its own
-temporary folder, which goes when the chunk is done, and adds up log10
-probabilities.  Its memory is that of a chunk, whatever the size of the model.
-
-    p(w | u) = max(c(uw) - D(c(uw)), 0) / c(u.) + g(u) p1(w)
-    p1(w)    = max(n(w) - D'(n(w)), 0) / n(.) + g' / (V + 1)
-
-c are training counts, n(w) the number of contexts that w follows, D and D'
-the three discounts of each level, g and g' what they leave.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark, and the scores of texts under it.
+
+    p_k(w | h) = max(c_k(hw) - D_k(c_k(hw)), 0) / c_k(h.) + g_k(h) p_{k-1}(w | h')
+    p_0(w)     = 1 / (V + 1)
+
+h' is h without its first word, c_k the training count at the highest order and
+below it the number of different words that precede hw, D_k the three discounts
+of the order, g_k(h) what they leave.
+
+Counting goes from the highest order down, one exchange for each order.  A
+chunk of documents sends each of its n-grams once, as a 64-bit hash, to the
+shard of the hash space that holds it; the shard adds up and answers each
+chunk in the chunk's own order.  Of the chunks that have an n-gram the shard
+names one its owner, and owners alone pass the n-gram on: as a follower of its
+context, and as a predecessor of its suffix.  So no context, however frequent,
+meets all its followers anywhere.
+
+:func:`score_documents` scores the documents it learns from, and reads no more
+than these answers.  :func:`train` stores the model as sorted hash arrays in a
+folder that all workers see, and :func:`score_texts` scores other texts with
+the arrays mapped from there.
 """
 
 from __future__ import annotations
 
-import tempfile
+import os
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,14 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._chunks import Chunk, chunked, emit, shards_for, with_answers
+from lodestone.llm._chunks import PAYLOAD, Chunk, chunked, emit, reduce_shards, shards_for, with_answers
 from lodestone.llm._spark import materialize
-from lodestone.llm._tokens import lean, lowered, mix, pack, shard_cuts, unpack, words_of
+from lodestone.llm._tokens import lowered, mix, pack, shard_cuts, unpack, words_of
 
-ROWS = "kind int, shard int, chunk bigint, payload binary"
-ANSWER_BIGRAMS, ANSWER_WORDS, ASKED, CONTINUATIONS, MODEL, STATISTICS, ANSWER_CONTINUATIONS = range(7)
 BEGIN, END = (int(x) for x in mix(np.array([11, 13], np.uint64)))
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+ORDER = 3
+#: Columns of an n-gram below the highest order: as a context the mass of its followers and how many are counted once, twice
+#: and more often; its own count of predecessors.  Words have their training count as one more.
+MASS, ONE, TWO, MORE, COUNT, TOKENS = range(6)
 
 
 def in_training(doc_id: int, known: bool, folds: int = 10) -> bool:
@@ -45,30 +52,46 @@ def in_training(doc_id: int, known: bool, folds: int = 10) -> bool:
 
 
 @dataclass
-class Tokens:
-    """Tokens of a chunk by number: ``vocabulary`` ascending hashes, ``word`` and ``context`` numbers, ``doc`` text numbers."""
-
-    vocabulary: np.ndarray
-    word: np.ndarray
-    context: np.ndarray
+class Grams:
+    """The n-grams of a chunk by order, from 1: ascending keys; of each the numbers of its prefix and suffix one order below, and of its last word."""
+
+    keys: list[np.ndarray]
+    prefix: list[np.ndarray]
+    suffix: list[np.ndarray]
+    word: list[np.ndarray]
+    token: np.ndarray  # number of the n-gram of the highest order that ends at each token
     doc: np.ndarray
-    bigrams: np.ndarray
-    bigram: np.ndarray
 
 
-def tokens_of(chunk: Chunk) -> Tokens:
+def grams_of(chunk: Chunk, order: int) -> Grams:
     words = words_of(lowered(chunk.texts))
-    n = len(chunk.ids)
-    h = np.full(len(words.hash) + n, END, np.uint64)
-    at = np.arange(len(words.hash)) + words.doc
-    h[at] = words.hash
-    doc = np.repeat(np.arange(n), np.diff(words.first) + 1)
-    vocabulary, number = np.unique(np.append(h, np.uint64(BEGIN)), return_inverse=True)
-    word = number[:-1]
-    context = np.concatenate([number[-1:], word[:-1]])
-    context[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []] = number[-1]
-    bigrams, bigram = np.unique(context * len(vocabulary) + word, return_inverse=True)
-    return Tokens(vocabulary, word, context, doc, bigrams, bigram)
+    n, pad = len(chunk.ids), order - 1
+    size = np.diff(words.first) + order  # with the marks before and the one after
+    first = np.cumsum(size) - size
+    x = np.full(int(size.sum()), BEGIN, np.uint64)
+    x[first[words.doc] + pad + np.arange(len(words.hash)) - words.first[words.doc]] = words.hash
+    x[first + size - 1] = END
+    doc = np.repeat(np.arange(n), size)
+    offset = np.arange(len(x)) - first[doc]
+    keys, prefix, suffix, last = [], [], [], []
+    h, below, at1 = x, None, None
+    for k in range(1, order + 1):
+        at = np.flatnonzero(offset >= k - 1)
+        if k > 1:
+            h = np.concatenate([h[:1], mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:] + np.uint64(k))])
+        found, number = np.unique(h[at], return_inverse=True)
+        where = np.empty(len(found), np.int64)
+        where[number] = at
+        own = np.zeros(len(x), np.int32)
+        own[at] = number
+        at1 = own if k == 1 else at1
+        keys.append(found)
+        prefix.append(below[where - 1] if k > 1 else where[:0])
+        suffix.append(below[where] if k > 1 else where[:0])
+        last.append(at1[where])
+        below = own
+    token = offset >= pad
+    return Grams(keys, prefix, suffix, last, below[token], doc[token])
 
 
 def _small(counts: np.ndarray) -> list[np.ndarray]:
@@ -83,113 +106,114 @@ def _whole(small: np.ndarray, large: np.ndarray) -> np.ndarray:
     return out
 
 
-def _followers(hashes: np.ndarray) -> np.ndarray:
-    """The upper five bytes of each hash: within one context, they tell its followers apart."""
-    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]).ravel()
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    raw = pack(*arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unsqueezed(payload: bytes) -> list[np.ndarray]:
+    return unpack(pa.decompress(payload[8:], int.from_bytes(payload[:8], "little"), "zstd", asbytes=True))
+
+
+def _asked(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte by byte of all of them, so that zero bytes lie together; and counts."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return _squeezed(steps.view(np.uint8).reshape(-1, 8).T.copy().ravel(), *(y for c in columns for y in _small(c)))
+
+
+def _read(payload: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    planes, *rest = _unsqueezed(payload)
+    steps = np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64), [_whole(a, b) for a, b in zip(rest[::2], rest[1::2], strict=True)]
+
 
+def _answer(level: int, columns: list[np.ndarray], own: np.ndarray) -> bytes:
+    return bytes([level]) + _squeezed(np.packbits(own), *(y for c in columns for y in _small(c)))
 
-def _upper(raw: np.ndarray) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), np.uint8)
-    wide[:, :5] = raw.reshape(-1, 5)
-    return wide.view("<u8").ravel()
 
+def _answers(level: int, answers: list[tuple[int, bytes]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(columns, own) for all keys of a chunk at a level; answers are in shard order, so in order of the keys."""
+    parts = []
+    for _, p in answers:
+        if p[0] == level:
+            bits, *rest = _unsqueezed(p[1:])
+            columns = [_whole(a, b) for a, b in zip(rest[::2], rest[1::2], strict=True)]
+            parts.append((columns, np.unpackbits(bits, count=len(columns[0])).astype(bool)))
+    return [np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)], np.concatenate([p[1] for p in parts])
 
-def _count(shards: int, folds: int):
+
+def _sent(level: int, g: Grams, shards: int, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    keys = g.keys[level - 1]
+    cuts = shard_cuts(keys, shards)
+    for s in range(shards):
+        a, b = cuts[s], cuts[s + 1]
+        if a < b:
+            yield s, _asked(keys[a:b], *(c[a:b] for c in columns))
+
+
+def _learned(chunk: Chunk, g: Grams, folds: int) -> np.ndarray:
+    """Which tokens are learned from."""
+    return np.array([in_training(i, k, folds) for i, k in zip(chunk.ids.tolist(), chunk.known.tolist(), strict=True)], bool)[g.doc]
+
+
+def _top(order: int, shards: int, folds: int):
     def fn(chunk: Chunk) -> Iterator[tuple[int, bytes]]:
-        t = tokens_of(chunk)
-        learn = np.array([in_training(i, k, folds) for i, k in zip(chunk.ids.tolist(), chunk.known.tolist(), strict=True)], bool)[t.doc]
-        words = np.bincount(t.word[learn], minlength=len(t.vocabulary))
-        pairs = np.bincount(t.bigram[learn], minlength=len(t.bigrams))
-        context, word = t.bigrams // len(t.vocabulary), t.bigrams % len(t.vocabulary)
-        cuts = shard_cuts(t.vocabulary, shards)
-        edges = np.searchsorted(context, cuts)
-        for s in range(shards):
-            a, b, p, q = cuts[s], cuts[s + 1], edges[s], edges[s + 1]
-            if a < b:
-                follow = np.bincount(context[p:q] - a, minlength=b - a)
-                yield s, pack(t.vocabulary[a:b], *_small(words[a:b]), *_small(follow), _followers(t.vocabulary[word[p:q]]), *_small(pairs[p:q]))
+        g = grams_of(chunk, order)
+        counts = np.bincount(g.token[_learned(chunk, g, folds)], minlength=len(g.keys[-1]))
+        yield from _sent(order, g, shards, [counts])
+
+    return fn
+
+
+def _down(level: int, order: int, shards: int, folds: int):
+    """What a chunk knows for the order below ``level`` from the n-grams that it owns."""
+
+    def fn(chunk: Chunk, answers: list[tuple[int, bytes]]) -> pa.Table:
+        g = grams_of(chunk, order)
+        columns, own = _answers(level, answers)
+        count = columns[0] if level == order else columns[COUNT]
+        own = own & (count > 0)
+        context, n = g.prefix[level - 1], len(g.keys[level - 2])
+        kinds = [np.bincount(context[own & hit], minlength=n) for hit in (count == 1, count == 2, count > 2)]
+        out = [np.bincount(context[own], count[own], n).astype(np.int64), *kinds, np.bincount(g.suffix[level - 1][own], minlength=n)]
+        if level == 2:
+            out.append(np.bincount(g.word[-1][g.token[_learned(chunk, g, folds)]], minlength=n))
+        rows = list(_sent(level - 1, g, shards, out))
+        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([chunk.number] * len(rows), pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
     return fn
 
 
 def _histogram(counts: np.ndarray) -> np.ndarray:
-    """How many counts are 1, 2, 3 and 4."""
-    return np.bincount(np.minimum(counts[counts > 0], 5), minlength=6)[1:5]
-
-
-def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    kind, shard, chunk, payload = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.table({"kind": pa.array(kind, pa.int32()), "shard": pa.array(shard, pa.int32()), "chunk": pa.array(chunk, pa.int64()), "payload": pa.array(payload, pa.binary())})
-
-
-def _gather(shards: int, keep: bool):
-    """What a shard answers, and its part of the model if ``keep``."""
-
-    def run(group: pa.Table) -> pa.Table:
-        lean()
-        shard = group.column("shard")[0].as_py()
-        chunks = group.column("chunk").to_pylist()
-        parts = [unpack(p) for p in group.column("payload").to_pylist()]
-        words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([_whole(p[1], p[2]) for p in parts]), len(words)).astype(np.int64)
-        # bigrams by context number and follower
-        starts = np.cumsum([0, *(len(p[0]) for p in parts)])
-        context = np.concatenate([np.repeat(at[a:b], _whole(p[3], p[4])) for p, a, b in zip(parts, starts[:-1], starts[1:], strict=True)])
-        follower = np.concatenate([_upper(p[5]) for p in parts])
-        count = np.concatenate([_whole(p[6], p[7]) for p in parts])
-        order = np.lexsort((follower, context))
-        new = np.r_[True, (np.diff(context[order]) != 0) | (follower[order][1:] != follower[order][:-1])] if len(order) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        pair_total = np.add.reduceat(count[order], first) if len(first) else count[:0]
-        pair_context, pair_follower = context[order][first], follower[order][first]
-        seen = pair_total > 0
-        mass = np.bincount(pair_context, pair_total, len(words)).astype(np.int64)
-        kinds = [np.bincount(pair_context[seen & (pair_total == k if k < 3 else pair_total >= 3)], minlength=len(words)) for k in (1, 2, 3)]
-        rows = []
-        at_pair = 0
-        for c, p, a, b in zip(chunks, parts, starts[:-1], starts[1:], strict=True):
-            own = at[a:b]
-            k = len(p[5]) // 5
-            rows.append((ANSWER_BIGRAMS, shard, c, pack(*(y for x in (mass, *kinds) for y in _small(x[own])), *_small(pair_total[number[at_pair : at_pair + k]]))))
-            rows.append((ANSWER_WORDS, shard, c, pack(*_small(total[own]))))
-            rows.append((ASKED, shard, c, pack(_followers(p[0]))))
-            at_pair += k
-        # in how many contexts each follower was seen, to the shard of that word
-        upper, n = np.unique(pair_follower[seen], return_counts=True)
-        cuts = shard_cuts(upper << np.uint64(24), shards)
-        cuts[1:-1] = np.searchsorted(upper, np.array([((i << 64) // shards) >> 24 for i in range(1, shards)], np.uint64))
-        for s in range(shards):
-            if cuts[s] < cuts[s + 1]:
-                rows.append((CONTINUATIONS, s, -1, pack(_followers(upper[cuts[s] : cuts[s + 1]] << np.uint64(24)), *_small(n[cuts[s] : cuts[s + 1]]))))
-        if keep:
-            follow = np.bincount(pair_context[seen], minlength=len(words)).astype(np.uint32)
-            rows.append((MODEL, shard, -1, pack(words, *_small(total), follow, _followers(pair_follower[seen] << np.uint64(24)), *_small(pair_total[seen]))))
-        rows.append((STATISTICS, shard, -1, pack(_histogram(pair_total), np.array([(total > 0).sum(), total.sum(), seen.sum()]))))
-        return _table(rows)
-
-    return run
-
-
-def _continue(group: pa.Table) -> pa.Table:
-    lean()
-    shard, parts, asked = group.column("shard")[0].as_py(), [], []
-    for kind, chunk, p in zip(group.column("kind").to_pylist(), group.column("chunk").to_pylist(), group.column("payload").to_pylist(), strict=True):
-        if kind == CONTINUATIONS:
-            raw, small, large = unpack(p)
-            parts.append((_upper(raw), _whole(small, large)))
-        else:
-            asked.append((chunk, _upper(unpack(p)[0])))
-    upper, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)]), return_inverse=True)
-    n = np.bincount(at, np.concatenate([np.zeros(0), *(p[1] for p in parts)]), len(upper)).astype(np.int64)
-    rows = []
-    for chunk, want in asked:
-        i = np.minimum(np.searchsorted(upper, want), max(len(upper) - 1, 0))
-        got = np.where(upper[i] == want, n[i], 0) if len(upper) else np.zeros(len(want), np.int64)
-        rows.append((ANSWER_CONTINUATIONS, shard, chunk, pack(*_small(got))))
-    rows.append((STATISTICS, shard, -1, pack(_histogram(n), np.array([n.sum()]))))
-    return _table(rows)
+    """How many counts are 1, 2, 3, 4 and more."""
+    return np.bincount(np.minimum(counts[counts > 0], 5), minlength=6)[1:]
+
+
+def _statistics(level: int, order: int, columns: list[np.ndarray]) -> bytes:
+    count = columns[0] if level == order else columns[COUNT]
+    words = columns[TOKENS] if level == 1 else count[:0]
+    return pack(_histogram(count), np.array([count.sum(), (words > 0).sum(), words.sum()]))
+
+
+def _reduce(level: int, order: int, folder: str | None):
+    def fn(shard: int, chunks: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        parts = [_read(p) for p in payloads]
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        totals = [np.bincount(at, np.concatenate(c), len(keys)).astype(np.int64) for c in zip(*(c for _, c in parts), strict=True)]
+        owner = np.empty(len(keys), np.int64)
+        owner[at[::-1]] = np.arange(len(at))[::-1]  # the first that has it
+        own = owner[at] == np.arange(len(at))
+        start = 0
+        for number, (k, _) in zip(chunks, parts, strict=True):
+            mine = at[start : start + len(k)]
+            yield number, _answer(level, [t[mine] for t in totals], own[start : start + len(k)])
+            start += len(k)
+        if folder:
+            known = np.logical_or.reduce([t > 0 for t in totals])
+            _store(folder, level, shard, keys[known], [t[known] for t in totals])
+        yield -1, _statistics(level, order, totals)
+
+    return fn
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -211,53 +235,81 @@ def _less(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.maximum(counts - np.concatenate([[0.0], d])[np.minimum(counts, 3)], 0)
 
 
-def _mapped(arrays: list[np.ndarray]) -> np.ndarray:
-    """The arrays in one file of the worker's temporary folder, mapped; the file has no name and goes with the map."""
-    whole = np.concatenate(arrays)
-    if not whole.nbytes:
-        return whole
-    with tempfile.TemporaryFile() as file:
-        whole.tofile(file)
-        file.flush()
-        return np.memmap(file, whole.dtype, "r", shape=whole.shape)
+@dataclass
+class Totals:
+    """What scoring needs of the whole corpus: the histogram of counts by order, from 1, bigram types, distinct training tokens, and their number."""
+
+    histograms: list[np.ndarray]
+    types: int
+    vocabulary: int
+    tokens: int
+
+
+def _totals(levels: list[DataFrame]) -> Totals:
+    histograms, sums = [], None
+    for rows in levels:  # from order 1 up
+        got = [unpack(bytes(r[0])) for r in rows.filter("chunk = -1").select("payload").collect()]  # a row per shard
+        histograms.append(np.sum([g[0] for g in got], axis=0) if got else np.zeros(5, np.int64))
+        if sums is None:
+            sums = np.sum([g[1] for g in got], axis=0) if got else np.zeros(3, np.int64)
+    return Totals(histograms, *(int(x) for x in sums))
 
 
-def _score(bigram_kinds: np.ndarray, word_kinds: np.ndarray, vocabulary: int, total: int, types: int, folds: int):
-    d, d1 = discounts(bigram_kinds[:4]), discounts(word_kinds[:4])
-    # words by continuation count: exactly 1, exactly 2, 3 or more
-    rest = float(d1 @ word_kinds[4:7] / types) if types else 1.0
-    uniform = 1 / (vocabulary + 1)
+def _score(order: int, totals: Totals, folds: int):
+    d = [discounts(h[:4]) for h in totals.histograms]
+    h = totals.histograms[0]
+    rest = float(d[0] @ [h[0], h[1], h[2:].sum()] / totals.types) if totals.types else 1.0
 
     def fn(chunk: Chunk, answers: list[tuple[int, bytes]]) -> pa.Table:
-        t = tokens_of(chunk)
-        by = {kind: [unpack(p[1:]) for _, p in answers if p[0] == kind] for kind in (ANSWER_BIGRAMS, ANSWER_WORDS, ANSWER_CONTINUATIONS)}
-
-        def column(kind: int, i: int) -> np.ndarray:
-            return _mapped([np.zeros(0, np.int64), *(_whole(p[2 * i], p[2 * i + 1]) for p in by[kind])])
-
-        mass, *kinds, pair = (column(ANSWER_BIGRAMS, i) for i in range(5))
-        count, follows = column(ANSWER_WORDS, 0), column(ANSWER_CONTINUATIONS, 0)
-        low = _less(follows, d1) / max(types, 1) + rest * uniform
-        context, word = t.bigrams // len(t.vocabulary), t.bigrams % len(t.vocabulary)
-        at = np.maximum(mass[context], 1)
-        left = np.where(mass[context] > 0, (d[0] * kinds[0][context] + d[1] * kinds[1][context] + d[2] * kinds[2][context]) / at, 1.0)
-        logp = np.log10(_less(pair, d) / at + left * low[word])
-        base = np.log10((count + 0.1) / (total + 0.1 * (vocabulary + 1)))
+        g = grams_of(chunk, order)
+        got = [_answers(k, answers)[0] for k in range(1, order + 1)]
+        p = _less(got[0][COUNT], d[0]) / max(totals.types, 1) + rest / (totals.vocabulary + 1)
+        for k in range(2, order + 1):
+            context, below = g.prefix[k - 1], got[k - 2]
+            count = got[k - 1][COUNT if k < order else 0]
+            mass = below[MASS][context]
+            at = np.maximum(mass, 1)
+            left = np.where(mass > 0, sum(d[k - 1][i] * below[ONE + i][context] for i in range(3)) / at, 1.0)
+            p = _less(count, d[k - 1]) / at + left * p[g.suffix[k - 1]]
+        # a begin mark is nobody's word, so n-grams that end with one have no probability
+        logp = np.log10(np.maximum(p, np.finfo(float).tiny))
+        seen = got[0][TOKENS]
+        word = g.word[-1][g.token]
+        base = np.log10((seen + 0.1) / (totals.tokens + 0.1 * (totals.vocabulary + 1)))
         n = len(chunk.ids)
         return pa.table({
             "doc_id": pa.array(chunk.ids, pa.int64(), mask=~chunk.known),
             "held_out": pa.array([k and not in_training(i, k, folds) for i, k in zip(chunk.ids.tolist(), chunk.known.tolist(), strict=True)], pa.bool_()),
-            "n_tokens": pa.array(np.bincount(t.doc, minlength=n), pa.int64()),
-            "n_known": pa.array(np.bincount(t.doc, (count > 0)[t.word], n).astype(np.int64)),
-            "train_tokens": pa.array(np.full(n, total), pa.int64()),
-            "base_score": np.bincount(t.doc, base[t.word], n),
-            "score": np.bincount(t.doc, logp[t.bigram], n),
+            "n_tokens": pa.array(np.bincount(g.doc, minlength=n), pa.int64()),
+            "n_known": pa.array(np.bincount(g.doc, (seen > 0)[word], n).astype(np.int64)),
+            "train_tokens": pa.array(np.full(n, totals.tokens), pa.int64()),
+            "base_score": np.bincount(g.doc, base[word], n),
+            "score": np.bincount(g.doc, logp[g.token], n),
         })
 
     return fn
 
 
-def score_documents(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _counted(chunks: DataFrame, order: int, folds: int, folder: str | None = None) -> list[DataFrame]:
+    """The answers and statistics of each order, from 1."""
+    if order < 2:
+        raise ValueError("the model has order 2 at least")
+    shards = shards_for(chunks)
+    levels = [materialize(reduce_shards(emit(chunks, _top(order, shards, folds)), _reduce(order, order, folder)), f"order-{order}")]
+    for level in range(order, 1, -1):
+        sent = with_answers(chunks, levels[0].filter("chunk >= 0"), _down(level, order, shards, folds), PAYLOAD)
+        levels.insert(0, materialize(reduce_shards(sent, _reduce(level - 1, order, folder)), f"order-{level - 1}"))
+    return levels
+
+
+def _union(levels: list[DataFrame]) -> DataFrame:
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out.filter("chunk >= 0")
+
+
+def score_documents(docs: DataFrame, folds: int = 10, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text).
 
     Words are lower-cased (A-Z) runs of other than white space; each text ends
@@ -265,33 +317,75 @@ def score_documents(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", te
     learns from documents whose CRC-32 isn't 0 modulo ``folds``; rows that
     repeat an id count as often as they occur.  With nothing to learn from,
     every token has probability 1 / (V + 1) with V = 0.  A row with a null id
-    is scored, not learned from, and not held out.  Other columns are not read.
+    is scored, not learned from, and not held out.  Other columns are not
+    read.  A worker holds a chunk of texts, or one longer text, at a time.
     """
     chunks = chunked(docs, id_col, text_col)
-    shards = shards_for(chunks)
-    first = materialize(emit(chunks, _count(shards, folds)).groupBy("shard").applyInArrow(_gather(shards, False), ROWS), "bigrams")
-    second = materialize(first.filter(F.col("kind").isin(ASKED, CONTINUATIONS)).groupBy("shard").applyInArrow(_continue, ROWS), "continuations")
+    levels = _counted(chunks, order, folds)
+    return with_answers(chunks, _union(levels), _score(order, _totals(levels), folds), RESULT)
 
-    def statistics(rows: DataFrame) -> list[np.ndarray]:  # a row per shard
-        got = [unpack(bytes(r[0])) for r in rows.filter(F.col("kind") == STATISTICS).select("payload").collect()]
-        return [np.sum([g[i] for g in got], axis=0) for i in range(2)] if got else [np.zeros(4, int), np.zeros(3, int)]
 
-    pairs, sums = statistics(first)
-    words, continued = statistics(second)
-    # as every word that was seen follows something, those not followed once or twice follow three times or more
-    kinds = np.concatenate([words, words[:2], [sums[0] - words[0] - words[1]]])
-    answers = first.filter(F.col("kind").isin(ANSWER_BIGRAMS, ANSWER_WORDS)).unionByName(second.filter(F.col("kind") == ANSWER_CONTINUATIONS))
-    answers = answers.select("shard", "chunk", F.concat(F.substring(F.unhex(F.hex("kind")), -1, 1), "payload").alias("payload"))
-    return with_answers(chunks, answers, _score(pairs, kinds, int(sums[0]), int(sums[1]), int(continued[0]), folds), RESULT)
+@dataclass
+class Model:
+    """A stored model: its folder, order, shards of the hash space, and totals."""
 
+    folder: str
+    order: int
+    shards: int
+    totals: Totals
 
-def model_tables(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(shard, payload) of the model itself, one row per shard of the hash space.
 
-    A payload unpacks to ascending word hashes, their counts (two arrays), the
-    number of followers of each, five-byte follower hashes and their counts.
-    """
+def _local(folder: str) -> str:
+    path = folder.removeprefix("file://")
+    if "://" in path:
+        raise ValueError("arrays are mapped from a folder in the file system of all workers")
+    return path
+
+
+def _store(folder: str, level: int, shard: int, keys: np.ndarray, columns: list[np.ndarray]) -> None:
+    """One file per array; a second attempt of a task replaces the whole file of the first."""
+    os.makedirs(folder, exist_ok=True)
+    for name, a in (("keys", keys), *((str(i), c) for i, c in enumerate(columns))):
+        part = f"{folder}/{level}-{shard}-{name}-{uuid.uuid4().hex}.part"
+        with open(part, "wb") as file:
+            np.save(file, a)
+        os.replace(part, f"{folder}/{level}-{shard}-{name}.npy")
+
+
+def train(docs: DataFrame, folder: str, folds: int = 10, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of :func:`score_documents` as sorted hash arrays and their columns of counts in ``folder``, one set of files per order and shard."""
     chunks = chunked(docs, id_col, text_col)
-    shards = shards_for(chunks)
-    rows = emit(chunks, _count(shards, folds)).groupBy("shard").applyInArrow(_gather(shards, True), ROWS)
-    return rows.filter(F.col("kind") == MODEL).select("shard", "payload")
+    levels = _counted(chunks, order, folds, _local(folder))
+    return Model(_local(folder), order, shards_for(chunks), _totals(levels))
+
+
+def score_texts(texts: DataFrame, model: Model, folds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The result of :func:`score_documents` for texts that needn't be those that the model has learned.
+
+    The n-grams of a chunk go to their shard, whose worker maps the shard's
+    arrays and looks them up; nothing of the model is read besides.
+    """
+    chunks = chunked(texts, id_col, text_col)
+
+    def ask(level: int) -> Callable[[Chunk], Iterator[tuple[int, bytes]]]:
+        return lambda chunk: _sent(level, grams_of(chunk, model.order), model.shards, [])
+
+    def look_up(level: int):
+        width = 1 if level == model.order else COUNT + 1 + (level == 1)
+
+        def fn(shard: int, numbers: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
+            base = f"{model.folder}/{level}-{shard}"
+            there = os.path.exists(f"{base}-keys.npy")  # a shard that no n-gram of the corpus fell into has none
+            keys = np.load(f"{base}-keys.npy", mmap_mode="r") if there else np.zeros(0, np.uint64)
+            columns = [np.load(f"{base}-{i}.npy", mmap_mode="r") if there else np.zeros(0, np.int64) for i in range(width)]
+            for number, p in zip(numbers, payloads, strict=True):
+                want, _ = _read(p)
+                at = np.searchsorted(keys, want)
+                at[at == len(keys)] = 0
+                hit = keys[at] == want if len(keys) else np.zeros(len(want), bool)
+                yield number, _answer(level, [np.where(hit, c[at], 0) if len(keys) else np.zeros(len(want), np.int64) for c in columns], hit)
+
+        return fn
+
+    levels = [materialize(reduce_shards(emit(chunks, ask(k)), look_up(k)), f"found-{k}") for k in range(1, model.order + 1)]
+    return with_answers(chunks, _union(levels), _score(model.order, model.totals, folds), RESULT)

@@ -93,36 +93,52 @@ def test_jaccard_components(spark, docs, texts):
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
 
 
-def test_kneser_ney(spark, docs, texts):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney(spark, docs, texts, order, tmp_path):
     T = {i: words((t or "").translate({c: c + 32 for c in range(65, 91)})) + [None] for i, t in enumerate(texts)}
     learn = {i for i in T if zlib.crc32(str(i).encode()) % 10}
     c = Counter(w for i in learn for w in T[i])
     total, v = sum(c.values()), len(c)
-    pairs = Counter((u, w) for i in learn for u, w in zip([0, *T[i]], T[i], strict=False))
-    mass, kinds, n = Counter(), defaultdict(lambda: [0, 0, 0]), Counter()
-    for (u, w), x in pairs.items():
-        mass[u] += x
-        kinds[u][min(x, 3) - 1] += 1
-        n[w] += 1
-    hist = lambda xs: np.array([Counter(xs)[k] for k in (1, 2, 3, 4)])
-    d, e = ([0.0, *kneser_ney.discounts(hist(list(x.values())))] for x in (pairs, n))
-    rest = sum(e[min(x, 3)] for x in n.values()) / len(pairs)
-
-    def low(w):
-        return max(n[w] - e[min(n[w], 3)], 0) / len(pairs) + rest / (v + 1)
 
-    def p(u, w):
-        x = pairs.get((u, w), 0)
-        return (max(x - d[min(x, 3)], 0) + sum(d[k + 1] * kinds[u][k] for k in range(3)) * low(w)) / mass[u] if mass[u] else low(w)
+    def grams(t):
+        x = [0] * (order - 1) + t
+        return [tuple(x[k : k + order]) for k in range(len(t))]
 
-    for r in kneser_ney.score_documents(docs).collect():
+    counts = {order: Counter(g for i in learn for g in grams(T[i]))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    hist = lambda xs: np.array([Counter(xs)[k] for k in (1, 2, 3, 4)])
+    d = {k: [0.0, *kneser_ney.discounts(hist(list(x.values())))] for k, x in counts.items()}
+    mass, kinds = defaultdict(int), defaultdict(lambda: [0, 0, 0])
+    for k, x in counts.items():
+        for g, n in x.items():
+            mass[k, g[:-1]] += n
+            kinds[k, g[:-1]][min(n, 3) - 1] += 1
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (v + 1)
+        n, m = counts[k].get(g, 0), mass.get((k, g[:-1]), 0)
+        return (max(n - d[k][min(n, 3)], 0) + sum(d[k][j + 1] * kinds[k, g[:-1]][j] for j in range(3)) * p(g[1:])) / m if m else p(g[1:])
+
+    got = kneser_ney.score_documents(docs, order=order).collect()
+    for r in got:
         t = T[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(t), sum(c[w] > 0 for w in t), total, r["doc_id"] not in learn)
         assert r["base_score"] == pytest.approx(sum(np.log10((c[w] + 0.1) / (total + 0.1 * (v + 1))) for w in t))
-        assert r["score"] == pytest.approx(sum(np.log10(p(u, w)) for u, w in zip([0, *t], t, strict=False)))
-    assert sum(p("w1", w) for w in c) + p("w1", "unseen") == pytest.approx(1)
-    assert kneser_ney.score_documents(empty(spark)).count() == 0
-    assert kneser_ney.model_tables(docs).count() >= 1
+        assert r["score"] == pytest.approx(sum(np.log10(p(g)) for g in grams(t)))
+    context = next(g for g in counts[order] if None not in g)[:-1]
+    assert sum(p((*context, w)) for w in c) + p((*context, "unseen")) == pytest.approx(1)
+    if order == 3:
+        # the stored model, mapped, gives the same scores, and scores texts that it hasn't learned
+        model = kneser_ney.train(docs, f"file://{tmp_path}/model", order=order)
+        again = {r["doc_id"]: r["score"] for r in kneser_ney.score_texts(docs, model).collect()}
+        assert {r["doc_id"]: pytest.approx(r["score"]) for r in got} == again
+        new = spark.createDataFrame([(None, "w1 w2 never seen", 1), (None, None, 2), (5, "", 3)], "doc_id long, text string, score int")
+        for r, t in zip(kneser_ney.score_texts(new, model).orderBy("n_tokens").collect()[-1:], ["w1 w2 never seen"], strict=True):
+            assert r["score"] == pytest.approx(sum(np.log10(p(g)) for g in grams([*t.split(), None])))
+        assert kneser_ney.score_documents(new).count() == 3 and kneser_ney.score_documents(empty(spark)).count() == 0
 
 
 def test_kd_top_k(spark):
