@@ -108,8 +108,8 @@ def words_of(texts: Texts) -> Words:
         after[inner - 1] = False
     start = np.flatnonzero(word & ~before)
     end = np.flatnonzero(word & ~after) + 1
-    doc = np.searchsorted(offsets, start, "right") - 1
-    first = np.searchsorted(doc, np.arange(len(offsets)), "left")
+    first = np.searchsorted(start, offsets, "left")
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     size = (end - start).astype(np.uint64)
     return Words(start, end, doc, first, mix(_byte_sums(data, start, end) + size * _BYTE[0]))
 

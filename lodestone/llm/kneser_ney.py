@@ -26,7 +26,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,15 +94,24 @@ def grams_of(chunk: Chunk, order: int) -> Grams:
     return Grams(keys, prefix, suffix, last, below[token], doc[token])
 
 
+def _planes(values: np.ndarray) -> np.ndarray:
+    """The bytes of 8-byte numbers, first byte of all, second of all and so on: compressed, bytes that are zero take no place."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.ravel()
+
+
+def _joined(planes: np.ndarray, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).ravel()
+
+
 def _small(counts: np.ndarray) -> list[np.ndarray]:
     """Counts in one byte each, those from 255 on apart."""
     large = np.flatnonzero(counts >= 255)
-    return [np.minimum(counts, 255).astype(np.uint8), counts[large].astype(np.int64)]
+    return [np.minimum(counts, 255).astype(np.uint8), _planes(counts[large].astype(np.int64))]
 
 
 def _whole(small: np.ndarray, large: np.ndarray) -> np.ndarray:
     out = small.astype(np.int64)
-    out[small == 255] = large
+    out[small == 255] = _joined(large, np.int64)
     return out
 
 
@@ -115,20 +124,29 @@ def _unsqueezed(payload: bytes) -> list[np.ndarray]:
     return unpack(pa.decompress(payload[8:], int.from_bytes(payload[:8], "little"), "zstd", asbytes=True))
 
 
+def _lessened(columns: Sequence[np.ndarray]) -> Sequence[np.ndarray]:
+    """Columns with the least that the kinds of followers make up taken off the mass, which is mostly all of it."""
+    return columns if len(columns) < 2 else [columns[MASS] - columns[ONE] - 2 * columns[TWO] - 3 * columns[MORE], *columns[1:]]
+
+
+def _restored(packed: list[np.ndarray]) -> list[np.ndarray]:
+    columns = [_whole(a, b) for a, b in zip(packed[::2], packed[1::2], strict=True)]
+    return columns if len(columns) < 2 else [columns[MASS] + columns[ONE] + 2 * columns[TWO] + 3 * columns[MORE], *columns[1:]]
+
+
 def _asked(keys: np.ndarray, *columns: np.ndarray) -> bytes:
     """Ascending keys as differences, byte by byte of all of them, so that zero bytes lie together; and counts."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    return _squeezed(steps.view(np.uint8).reshape(-1, 8).T.copy().ravel(), *(y for c in columns for y in _small(c)))
+    return _squeezed(_planes(steps), *(y for c in _lessened(columns) for y in _small(c)))
 
 
 def _read(payload: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
     planes, *rest = _unsqueezed(payload)
-    steps = np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64), [_whole(a, b) for a, b in zip(rest[::2], rest[1::2], strict=True)]
+    return np.cumsum(_joined(planes, np.uint64), dtype=np.uint64), _restored(rest)
 
 
 def _answer(level: int, columns: list[np.ndarray], own: np.ndarray) -> bytes:
-    return bytes([level]) + _squeezed(np.packbits(own), *(y for c in columns for y in _small(c)))
+    return bytes([level]) + _squeezed(np.packbits(own), *(y for c in _lessened(columns) for y in _small(c)))
 
 
 def _answers(level: int, answers: list[tuple[int, bytes]]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -137,7 +155,7 @@ def _answers(level: int, answers: list[tuple[int, bytes]]) -> tuple[list[np.ndar
     for _, p in answers:
         if p[0] == level:
             bits, *rest = _unsqueezed(p[1:])
-            columns = [_whole(a, b) for a, b in zip(rest[::2], rest[1::2], strict=True)]
+            columns = _restored(rest)
             parts.append((columns, np.unpackbits(bits, count=len(columns[0])).astype(bool)))
     return [np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)], np.concatenate([p[1] for p in parts])
 
