@@ -53,6 +53,13 @@ def lean() -> None:
     """In a Python worker: give large arrays back to the system when they are freed, instead of keeping them for reuse."""
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+def trimmed() -> None:
+    """In a Python worker: give freed small pieces of memory back as well, so that a worker that waits holds little."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Texts(NamedTuple):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._tokens import Texts, lean, pack, texts_of, unpack
+from lodestone.llm._tokens import Texts, lean, pack, texts_of, trimmed, unpack
 from lodestone.llm.mixing import draw
 
 UNKNOWN = "und"
@@ -225,6 +225,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def guess(texts: pa.Array) -> pa.Array:
         lean()
         lang, score = model.predict(texts_of(texts))
+        trimmed()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]

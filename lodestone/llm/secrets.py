@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._tokens import lean
+from lodestone.llm._tokens import lean, trimmed
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -357,6 +357,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
         lean()
-        return pa.array((None if (t := x.as_py()) is None else redacted(t, all_spans(t), mark) for x in texts), pa.string())
+        out = pa.array((None if (t := x.as_py()) is None else redacted(t, all_spans(t), mark) for x in texts), pa.string())
+        trimmed()
+        return out
 
     return docs.withColumn(text_col, clean(F.col(text_col).cast("string")))
