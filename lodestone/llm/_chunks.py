@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._spark import materialize
-from lodestone.llm._tokens import Texts, lean, texts_of
+from lodestone.llm._tokens import Texts, lean, texts_of, trimmed
 
 CHUNK_BYTES = 2 << 20
 SHARD_BYTES = 8 << 20
@@ -92,6 +92,7 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
                     yield flush()
         if held:
             yield flush()
+        trimmed()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return materialize(rows.mapInArrow(build, "chunk bigint, n_docs bigint, n_bytes bigint, blob binary"), "chunks")
@@ -116,6 +117,7 @@ def emit(chunks: DataFrame, fn: Callable[[Chunk], Iterator[tuple[int, bytes]]])
             for number, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
                 chunk = read_chunk(number, blob.as_buffer())
                 yield payload_rows([(s, number, p) for s, p in fn(chunk)])
+        trimmed()
 
     return chunks.select("chunk", "blob").mapInArrow(run, PAYLOAD)
 

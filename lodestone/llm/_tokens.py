@@ -48,9 +48,14 @@ def _power(kind: str) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-@cache
 def lean() -> None:
-    """In a Python worker: give large arrays back to the system when they are freed, instead of keeping them for reuse."""
+    """In a Python worker, before each task or group: give back what the one before has left, and from now on large arrays as they are freed."""
+    _mapped_arrays()
+    trimmed()
+
+
+@cache
+def _mapped_arrays() -> None:
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
     pa.set_memory_pool(pa.system_memory_pool())
