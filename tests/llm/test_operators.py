@@ -466,3 +466,15 @@ def test_pipeline_near_duplicates(spark, texts):
     got = {of[k]: k[0] for k in kept if words(k[1])}
     assert len(kept) - len(empties) == len(got)
     assert {x: (d is None, d or 0) for x, d in got.items()} == {x: min(least[x]) for x in {x for x, s in zip(root, sets, strict=True) if s}}
+
+
+def test_joined_components_merges_roots_and_new_nodes(spark):
+    from lodestone.llm.components import connected_components, joined_components
+
+    def edges(*pairs):
+        return spark.createDataFrame(list(pairs), "a long, b long")
+
+    first = connected_components(edges((1, 2), (2, 3), (7, 8), (8, 9)))
+    got = joined_components(first, edges((9, 3), (3, 9), (20, 21), (21, 0), (5, 5)))
+    assert sorted(map(tuple, got.collect())) == [(0, 0), (1, 1), (2, 1), (3, 1), (7, 1), (8, 1), (9, 1), (20, 0), (21, 0)]
+    assert joined_components(first, edges()).count() == 6
