@@ -50,14 +50,30 @@ def _power(kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 def lean() -> None:
     """In a Python worker, before each task or group: give back what the one before has left, and from now on large arrays as they are freed."""
-    _mapped_arrays()
+    _system_pool()
+    _thresholds(1 << 20, 128 << 10)
     trimmed()
 
 
-@cache
-def _mapped_arrays() -> None:
+def reusing() -> None:
+    """In a Python worker, until the next :func:`lean`: use the memory of freed arrays again, up to 64 MB of it, instead of giving it back.
+
+    Memory that is new has to be cleared page by page, which takes as long as
+    the sums over a chunk do.
+    """
+    _thresholds(32 << 20, 64 << 20)
+
+
+def _thresholds(mapped: int, kept: int) -> None:
+    """From which size on arrays are mapped by themselves, and how much free memory stays at the end of the heap."""
     with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, mapped)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, kept)  # M_TRIM_THRESHOLD
+
+
+@cache
+def _system_pool() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 

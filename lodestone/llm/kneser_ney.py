@@ -26,7 +26,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Collection, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm._chunks import PAYLOAD, Chunk, chunked, emit, reduce_shards, shards_for, with_answers
 from lodestone.llm._spark import materialize
-from lodestone.llm._tokens import lowered, mix, pack, shard_cuts, unpack, words_of
+from lodestone.llm._tokens import lowered, mix, pack, reusing, shard_cuts, unpack, words_of
 
 BEGIN, END = (int(x) for x in mix(np.array([11, 13], np.uint64)))
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -53,17 +53,17 @@ def in_training(doc_id: int, known: bool, folds: int = 10) -> bool:
 
 @dataclass
 class Grams:
-    """The n-grams of a chunk by order, from 1: ascending keys; of each the numbers of its prefix and suffix one order below, and of its last word."""
+    """The n-grams of a chunk, by those orders that were asked for: ascending keys; of each the numbers of its prefix and suffix one order below, if that was asked for too."""
 
-    keys: list[np.ndarray]
-    prefix: list[np.ndarray]
-    suffix: list[np.ndarray]
-    word: list[np.ndarray]
-    token: np.ndarray  # number of the n-gram of the highest order that ends at each token
+    keys: dict[int, np.ndarray]
+    prefix: dict[int, np.ndarray]
+    suffix: dict[int, np.ndarray]
+    token: dict[int, np.ndarray]  # number of the n-gram that ends at each token
     doc: np.ndarray
 
 
-def grams_of(chunk: Chunk, order: int) -> Grams:
+def grams_of(chunk: Chunk, order: int, orders: Collection[int]) -> Grams:
+    reusing()
     words = words_of(lowered(chunk.texts))
     n, pad = len(chunk.ids), order - 1
     size = np.diff(words.first) + order  # with the marks before and the one after
@@ -73,25 +73,29 @@ def grams_of(chunk: Chunk, order: int) -> Grams:
     x[first + size - 1] = END
     doc = np.repeat(np.arange(n), size)
     offset = np.arange(len(x)) - first[doc]
-    keys, prefix, suffix, last = [], [], [], []
-    h, below, at1 = x, None, None
-    for k in range(1, order + 1):
-        at = np.flatnonzero(offset >= k - 1)
+    token = np.flatnonzero(offset >= pad)
+    keys, prefix, suffix, tokens = {}, {}, {}, {}
+    h, below = x, None
+    for k in range(1, max(orders) + 1):
         if k > 1:
             h = np.concatenate([h[:1], mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:] + np.uint64(k))])
-        found, number = np.unique(h[at], return_inverse=True)
-        where = np.empty(len(found), np.int64)
-        where[number] = at
+        if k not in orders:
+            below = None
+            continue
+        at = token if k == order else np.flatnonzero(offset >= k - 1)
+        by_key = np.argsort(h[at])
+        ascending = h[at[by_key]]
+        new = np.ones(len(at), bool)
+        new[1:] = ascending[1:] != ascending[:-1]
+        keys[k] = ascending[new]
         own = np.zeros(len(x), np.int32)
-        own[at] = number
-        at1 = own if k == 1 else at1
-        keys.append(found)
-        prefix.append(below[where - 1] if k > 1 else where[:0])
-        suffix.append(below[where] if k > 1 else where[:0])
-        last.append(at1[where])
+        own[at[by_key]] = np.cumsum(new, dtype=np.int32) - 1
+        if below is not None:
+            where = at[by_key[new]]
+            prefix[k], suffix[k] = below[where - 1], below[where]
+        tokens[k] = own[token]
         below = own
-    token = offset >= pad
-    return Grams(keys, prefix, suffix, last, below[token], doc[token])
+    return Grams(keys, prefix, suffix, tokens, doc[token])
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
@@ -161,7 +165,7 @@ def _answers(level: int, answers: list[tuple[int, bytes]]) -> tuple[list[np.ndar
 
 
 def _sent(level: int, g: Grams, shards: int, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    keys = g.keys[level - 1]
+    keys = g.keys[level]
     cuts = shard_cuts(keys, shards)
     for s in range(shards):
         a, b = cuts[s], cuts[s + 1]
@@ -176,8 +180,8 @@ def _learned(chunk: Chunk, g: Grams, folds: int) -> np.ndarray:
 
 def _top(order: int, shards: int, folds: int):
     def fn(chunk: Chunk) -> Iterator[tuple[int, bytes]]:
-        g = grams_of(chunk, order)
-        counts = np.bincount(g.token[_learned(chunk, g, folds)], minlength=len(g.keys[-1]))
+        g = grams_of(chunk, order, [order])
+        counts = np.bincount(g.token[order][_learned(chunk, g, folds)], minlength=len(g.keys[order]))
         yield from _sent(order, g, shards, [counts])
 
     return fn
@@ -187,15 +191,15 @@ def _down(level: int, order: int, shards: int, folds: int):
     """What a chunk knows for the order below ``level`` from the n-grams that it owns."""
 
     def fn(chunk: Chunk, answers: list[tuple[int, bytes]]) -> pa.Table:
-        g = grams_of(chunk, order)
+        g = grams_of(chunk, order, [level - 1, level])
         columns, own = _answers(level, answers)
         count = columns[0] if level == order else columns[COUNT]
         own = own & (count > 0)
-        context, n = g.prefix[level - 1], len(g.keys[level - 2])
+        context, n = g.prefix[level], len(g.keys[level - 1])
         kinds = [np.bincount(context[own & hit], minlength=n) for hit in (count == 1, count == 2, count > 2)]
-        out = [np.bincount(context[own], count[own], n).astype(np.int64), *kinds, np.bincount(g.suffix[level - 1][own], minlength=n)]
+        out = [np.bincount(context[own], count[own], n).astype(np.int64), *kinds, np.bincount(g.suffix[level][own], minlength=n)]
         if level == 2:
-            out.append(np.bincount(g.word[-1][g.token[_learned(chunk, g, folds)]], minlength=n))
+            out.append(np.bincount(g.token[1][_learned(chunk, g, folds)], minlength=n))
         rows = list(_sent(level - 1, g, shards, out))
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([chunk.number] * len(rows), pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
@@ -215,6 +219,7 @@ def _statistics(level: int, order: int, columns: list[np.ndarray]) -> bytes:
 
 def _reduce(level: int, order: int, folder: str | None):
     def fn(shard: int, chunks: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        reusing()
         parts = [_read(p) for p in payloads]
         keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
         totals = [np.bincount(at, np.concatenate(c), len(keys)).astype(np.int64) for c in zip(*(c for _, c in parts), strict=True)]
@@ -279,20 +284,20 @@ def _score(order: int, totals: Totals, folds: int):
     rest = float(d[0] @ [h[0], h[1], h[2:].sum()] / totals.types) if totals.types else 1.0
 
     def fn(chunk: Chunk, answers: list[tuple[int, bytes]]) -> pa.Table:
-        g = grams_of(chunk, order)
+        g = grams_of(chunk, order, range(1, order + 1))
         got = [_answers(k, answers)[0] for k in range(1, order + 1)]
         p = _less(got[0][COUNT], d[0]) / max(totals.types, 1) + rest / (totals.vocabulary + 1)
         for k in range(2, order + 1):
-            context, below = g.prefix[k - 1], got[k - 2]
+            context, below = g.prefix[k], got[k - 2]
             count = got[k - 1][COUNT if k < order else 0]
             mass = below[MASS][context]
             at = np.maximum(mass, 1)
-            left = np.where(mass > 0, sum(d[k - 1][i] * below[ONE + i][context] for i in range(3)) / at, 1.0)
-            p = _less(count, d[k - 1]) / at + left * p[g.suffix[k - 1]]
+            left = np.where(mass > 0, sum(d[k - 1][i] * below[ONE + i] for i in range(3))[context] / at, 1.0)
+            p = _less(count, d[k - 1]) / at + left * p[g.suffix[k]]
         # a begin mark is nobody's word, so n-grams that end with one have no probability
         logp = np.log10(np.maximum(p, np.finfo(float).tiny))
         seen = got[0][TOKENS]
-        word = g.word[-1][g.token]
+        word = g.token[1]
         base = np.log10((seen + 0.1) / (totals.tokens + 0.1 * (totals.vocabulary + 1)))
         n = len(chunk.ids)
         return pa.table({
@@ -302,7 +307,7 @@ def _score(order: int, totals: Totals, folds: int):
             "n_known": pa.array(np.bincount(g.doc, (seen > 0)[word], n).astype(np.int64)),
             "train_tokens": pa.array(np.full(n, totals.tokens), pa.int64()),
             "base_score": np.bincount(g.doc, base[word], n),
-            "score": np.bincount(g.doc, logp[g.token], n),
+            "score": np.bincount(g.doc, logp[g.token[order]], n),
         })
 
     return fn
@@ -386,7 +391,7 @@ def score_texts(texts: DataFrame, model: Model, folds: int = 10, id_col: str = "
     chunks = chunked(texts, id_col, text_col)
 
     def ask(level: int) -> Callable[[Chunk], Iterator[tuple[int, bytes]]]:
-        return lambda chunk: _sent(level, grams_of(chunk, model.order), model.shards, [])
+        return lambda chunk: _sent(level, grams_of(chunk, model.order, [level]), model.shards, [])
 
     def look_up(level: int):
         width = 1 if level == model.order else COUNT + 1 + (level == 1)
