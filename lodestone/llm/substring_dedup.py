@@ -1,11 +1,13 @@
 """Exact substring dedup: remove words covered by windows that also start in a document with a smaller id.
 
-Level-wise doubling.  Level 0 takes windows of half the final length.  A
-window of the final length holds ``length - half + 1`` of them, and it is
-enough to look at the one with the least hash among these (winnowing): equal
-final windows hold the same one.  Half windows that occur once are dropped.
-Level 1 doubles the rest: only final windows that hold a surviving half window
-are hashed and compared.  Longer windows cannot cover further words, so the
+Level-wise doubling.  The first level takes windows of an eighth, a quarter or
+half of the final length, whichever is the first to have ``LEAST`` words; each
+level after it takes windows of twice the length.  A final window holds many
+windows of a level, and it is enough to look at the one with the least hash
+among them (winnowing): equal final windows hold the same one.  A final window
+whose least window occurs once is given up, and the next level looks at what
+lies in the others alone, until the final windows themselves are compared or
+no candidates are left.  Longer windows cannot cover further words, so the
 doubling ends at the final length.
 
 Hashes have 64 bits, so two different windows are taken for equal with a
@@ -23,38 +25,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm._chunks import Chunk, chunked, emit, reduce_shards, shards_for, with_answers
-from lodestone.llm._tokens import Words, member, pack, shard_cuts, unpack, window_hashes, words_of
+from lodestone.llm._tokens import Words, member, pack, reusing, shard_cuts, unpack, window_hashes, words_of
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+SENT = "shard int, chunk bigint, payload binary"
+#: Words of a window of the first level at least, where the final length has twice as many.
+LEAST = 12
 
 
-def _least_in_window(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of ``values[i : i + width]`` for every i at which that many are left."""
+def levels_of(length: int, least: int = LEAST) -> list[int]:
+    """Window lengths before the final one, each half of the next: one at least."""
+    out = [-(-length // 2)]
+    while least <= (half := -(-out[0] // 2)) < out[0]:
+        out.insert(0, half)
+    return out
+
+
+def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """Least or largest of ``values[i : i + width]`` for every i at which that many are left."""
     out, have = values, 1
     while have < width:
         step = min(have, width - have)
-        out = np.minimum(out[:-step], out[step:])
+        out = pick(out[:-step], out[step:])
         have += step
     return out
 
 
-def _half(words: Words, length: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(positions, hashes, half): the half windows that winnowing keeps."""
-    half = -(-length // 2)
-    width = length - half + 1
-    h, fits = window_hashes(words, half)
-    starts = np.flatnonzero(_starts(words, length))
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), half
-    least = _least_in_window(h, width)[starts]
-    chosen = np.zeros(len(h), bool)
-    # every position that holds the least hash of some final window
-    for offset in range(width):
-        at = starts + offset
-        hit = h[at] == least
-        chosen[at[hit]] = True
-    at = np.flatnonzero(chosen & fits)
-    return at, h[at], half
+def _least(words: Words, length: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``part`` words from each word on, and for each start of a final window the least of those within it."""
+    h, _ = window_hashes(words, part)
+    starts = _starts(words, length)
+    out = np.zeros(len(h), np.uint64)
+    width = length - part + 1
+    if len(h) >= width:
+        out[: len(h) - width + 1] = _sliding(h, width, np.minimum)
+    return h, np.where(starts, out, 0)
+
+
+def _chosen(words: Words, length: int, part: int, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of all windows of ``part`` words that are the least of a final window from ``alive`` on."""
+    h, least = _least(words, length, part)
+    width = length - part + 1
+    # no window has a hash below the least of a final window it lies in, so it is chosen where it equals the largest of these
+    largest = _sliding(np.concatenate([np.zeros(width - 1, np.uint64), np.where(alive, least, 0)]), width, np.maximum) if len(h) else h
+    at = np.flatnonzero((largest == h) & (largest > 0))
+    return at, h[at]
 
 
 def _starts(words: Words, length: int) -> np.ndarray:
@@ -74,12 +89,24 @@ def _covered(n: int, at: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _level0(length: int, shards: int):
-    def fn(chunk: Chunk) -> Iterator[tuple[int, bytes]]:
+def _alive(chunk: Chunk, words: Words, length: int, part: int | None, answers: list[tuple[int, bytes]]) -> np.ndarray:
+    """Whether a final window starts at each word that may occur elsewhere, by what survived of the level before."""
+    if part is None:
+        return _starts(words, length) & chunk.known[words.doc]
+    survivors = np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpack(p)[0] for _, p in answers)]))
+    if not len(survivors):
+        return np.zeros(len(words.hash), bool)
+    return _starts(words, length) & chunk.known[words.doc] & member(_least(words, length, part)[1], survivors)
+
+
+def _level(length: int, part: int, before: int | None, shards: int):
+    """Sends each chosen window of the level once, with whether several documents of the chunk have it."""
+
+    def fn(chunk: Chunk, answers: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+        reusing()
         words = words_of(chunk.texts)
-        at, h, _ = _half(words, length)
-        keep = chunk.known[words.doc[at]]
-        h, doc = h[keep], words.doc[at][keep]
+        at, h = _chosen(words, length, part, _alive(chunk, words, length, before, answers))
+        doc = words.doc[at]
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
@@ -87,14 +114,15 @@ def _level0(length: int, shards: int):
         many = doc[first] != doc[last]
         h = h[first]
         cuts = shard_cuts(h, shards)
-        for s in range(shards):
-            a, b = cuts[s], cuts[s + 1]
-            if a < b:
-                yield s, pack(h[a:b], np.packbits(many[a:b]))
+        return [(s, pack(h[a:b], np.packbits(many[a:b]))) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
 
     return fn
 
 
+def _sent(number: int, rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([number] * len(rows), pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+
+
 def _repeated(shard: int, chunks: list[int], payloads: list[bytes]) -> Iterator[tuple[int, bytes]]:
     parts = [unpack(p) for p in payloads]
     h = np.concatenate([p[0] for p in parts])
@@ -111,25 +139,12 @@ def _repeated(shard: int, chunks: list[int], payloads: list[bytes]) -> Iterator[
             yield c, pack(got)
 
 
-def _candidates(chunk: Chunk, words: Words, length: int, survivors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the final windows that hold a surviving half window."""
-    at, h, half = _half(words, length)
-    at = at[member(h, survivors)]
-    n = len(words.hash)
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.maximum(at - (length - half), 0), 1)
-    np.subtract.at(edge, np.minimum(at + 1, n), 1)
-    final, fits = window_hashes(words, length)
-    pos = np.flatnonzero((np.cumsum(edge[:n]) > 0) & fits)
-    pos = pos[chunk.known[words.doc[pos]]]
-    return pos, final[pos]
-
-
-def _level1(length: int, shards: int):
+def _final(length: int, before: int, shards: int):
     def fn(chunk: Chunk, answers: list[tuple[int, bytes]]) -> pa.Table:
+        reusing()
         words = words_of(chunk.texts)
-        survivors = np.concatenate([np.zeros(0, np.uint64), *(unpack(p)[0] for _, p in answers)])
-        pos, h = _candidates(chunk, words, length, survivors)
+        pos = np.flatnonzero(_alive(chunk, words, length, before, answers))
+        h = window_hashes(words, length)[0][pos] if len(pos) else np.zeros(0, np.uint64)
         ids = chunk.ids[words.doc[pos]]
         order = np.lexsort((ids, h))
         h, ids, pos = h[order], ids[order], pos[order]
@@ -150,7 +165,7 @@ def _level1(length: int, shards: int):
             if a < b:
                 used, local = np.unique(index[a:b], return_inverse=True)
                 rows.append((s, pack(h[a:b], table[used], local.astype(index.dtype))))
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([chunk.number] * len(rows), pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+        return _sent(chunk.number, rows)
 
     return fn
 
@@ -178,6 +193,7 @@ def _least_ids(shard: int, chunks: list[int], payloads: list[bytes]) -> Iterator
 
 def _kept(length: int):
     def fn(chunk: Chunk, answers: list[tuple[int, bytes]]) -> pa.Table:
+        reusing()
         words = words_of(chunk.texts)
         n = len(words.hash)
         gone = np.zeros(n, bool)
@@ -212,18 +228,23 @@ def _kept(length: int):
     return fn
 
 
-def _removal(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _removal(docs: DataFrame, length: int, least: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(chunks, answers): the chunk store, and for each chunk what says which of its windows go."""
     if length < 2:
         raise ValueError("a window has two words at least")
     chunks = chunked(docs, id_col, text_col)
     shards = shards_for(chunks)
-    repeated = reduce_shards(emit(chunks, _level0(length, shards)), _repeated)
-    final = with_answers(chunks, repeated, _level1(length, shards), "shard int, chunk bigint, payload binary")
+    parts = levels_of(length, least)
+    first = _level(length, parts[0], None, shards)
+    answers = reduce_shards(emit(chunks, lambda chunk: iter(first(chunk, []))), _repeated)
+    for before, part in zip(parts[:-1], parts[1:], strict=True):
+        level = _level(length, part, before, shards)
+        answers = reduce_shards(with_answers(chunks, answers, lambda chunk, got, level=level: _sent(chunk.number, level(chunk, got)), SENT), _repeated)
+    final = with_answers(chunks, answers, _final(length, parts[-1], shards), SENT)
     return chunks, reduce_shards(final, _least_ids)
 
 
-def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space).
 
     A null or empty text has no words; a text of fewer words than ``length``
@@ -232,5 +253,5 @@ def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     one document: they don't remove each other's words.  Each input row gives
     one result row; other columns, whatever their names, are not read.
     """
-    chunks, answers = _removal(docs, length, id_col, text_col)
+    chunks, answers = _removal(docs, length, least, id_col, text_col)
     return with_answers(chunks, answers, _kept(length), RESULT)

@@ -69,6 +69,33 @@ def test_substring_dedup(spark, docs, texts):
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("length", "least"), [(50, 25), (50, 6), (7, 2), (3, 1), (2, 1)])
+def test_substring_dedup_doubling(spark, length, least):
+    """The same words go by any number of levels; a null id neither loses words nor makes others lose them, rows of one id don't either."""
+    rng = random.Random(length)
+    texts = [" ".join(rng.choice(["a", "b", "É"] if length < 10 else ["a", "b", "c", "d", "e", "f", "g", "h"]) for _ in range(rng.choice([0, 2, 9, 60, 150]))) for _ in range(25)]
+    texts += [" ".join(t.split()[3:] + ["end"]) for t in texts[:12]]
+    rows = [(None if i % 9 == 4 else i - (i % 10 == 7), t) for i, t in enumerate(texts)]
+    starts = {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - length + 1):
+            if i is not None:
+                starts[tuple(w[k : k + length])] = min(i, starts.get(tuple(w[k : k + length]), i))
+    want = Counter()
+    for i, t in rows:
+        w = t.split()
+        gone = {p for k in range(len(w) - length + 1) if i is not None and starts[tuple(w[k : k + length])] < i for p in range(k, k + length)}
+        want[i, len(w), len(gone), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest()] += 1
+    found = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length, least=least)
+    assert Counter(map(tuple, found.collect())) == want
+    assert any(k[2] for k in want)
+
+
+def test_substring_dedup_levels():
+    assert substring_dedup.levels_of(50) == [13, 25] and substring_dedup.levels_of(2) == [1] and substring_dedup.levels_of(50, 25) == [25]
+
+
 def test_jaccard_components(spark, docs, texts):
     def shingles(t):
         w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(t)]
