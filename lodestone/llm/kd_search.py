@@ -1,6 +1,6 @@
 """Exact top-k by inner product with one KD-tree per shard.
 
-Vectors are dealt to shards by a hash of their id.  Each shard builds a
+Vectors are dealt to shards by a hash of id and row.  Each shard builds a
 KD-tree: splits at the median of the widest dimension down to leaves, a tight
 box around each node.  The inner product of a query with any point of a box is
 at most ``sum(max(q*lo, q*hi))``.  A block of queries goes down the tree level
@@ -25,6 +25,8 @@ from lodestone.llm._spark import materialize
 
 #: Vectors of a shard at most; fewer where that keeps all cores busy.
 SHARD_ROWS = 65_536
+#: Queries of other shards that meet a shard in one task.
+BLOCK_ROWS = 65_536
 LEAF_ROWS = 128
 NONE = np.iinfo(np.int64).min
 RESULT = "query_id long, vec_id long, score long"
@@ -164,7 +166,7 @@ def quantized(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     )
 
 
-def kd_top_k(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def kd_top_k(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query's k best others by integer inner product, ties to the smaller id.
 
     ``vectors`` has vec_id and v, whole numbers as doubles (see
@@ -172,19 +174,24 @@ def kd_top_k(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int
     counts as filled up with zeros.  Fewer than k others: all of them.  Rows
     that repeat an id are candidates each, except for queries of that id.
     Scores beyond 2**53 raise OverflowError.  Other columns are not read.
+    A task holds one shard of about ``shard_rows`` rows and one block of about
+    ``block_rows`` queries; a shard's rows travel once for each block.
     """
     spark = vectors.sparkSession
-    rows = materialize(vectors.select("vec_id", "v", is_query.alias("q")), "vectors")
+    # rows of one id are dealt out too; the number of a row is written down, so that it is the same in each later read
+    numbered = vectors.select("vec_id", "v", is_query.alias("q"), F.xxhash64("vec_id", F.monotonically_increasing_id()).alias("deal"))
+    rows = materialize(numbered, "vectors")
     n, cores = rows.count(), spark.sparkContext.defaultParallelism
     shards = max(1, -(-n // shard_rows), min(2 * cores, n // 2048))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    queries = rows.filter("q").select("vec_id", "v", "shard").dropDuplicates(["vec_id", "v"])
+    rows = rows.withColumn("shard", F.pmod("deal", F.lit(shards)).cast("int"))
+    queries = rows.filter("q").groupBy("vec_id", "v").agg(F.min("shard").alias("shard"))
+    blocks = max(1, -(-rows.filter("q").count() // block_rows))
 
     def run(points: pa.Table, asked: pa.Table) -> pa.Table:
         return _search(points, asked, k)
 
-    points = rows.select(F.col("shard").alias("at"), F.col("vec_id").alias("id"), F.col("v").alias("point")).groupBy("at")
-    home = materialize(points.cogroup(queries.withColumn("kth", F.lit(NONE)).groupBy("shard")).applyInArrow(run, RESULT), "home")
+    points = rows.select(F.col("shard").alias("at"), F.col("vec_id").alias("id"), F.col("v").alias("point"))
+    home = materialize(points.groupBy("at").cogroup(queries.withColumn("kth", F.lit(NONE)).groupBy("shard")).applyInArrow(run, RESULT), "home")
     kth = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(NONE)).alias("kth"))
     away = (
         queries.withColumnRenamed("shard", "own")
@@ -192,8 +199,10 @@ def kd_top_k(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int
         .withColumn("kth", F.coalesce("kth", F.lit(NONE)))
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
         .filter("shard <> own")
-        .select("vec_id", "v", "shard", "kth")
+        .withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+        .select("vec_id", "v", "shard", "block", "kth")
     )
-    found = home.unionByName(points.cogroup(away.groupBy("shard")).applyInArrow(run, RESULT)) if shards > 1 else home
+    copies = points.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = home.unionByName(copies.groupBy("at", "to").cogroup(away.groupBy("shard", "block")).applyInArrow(run, RESULT)) if shards > 1 else home
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -175,9 +175,9 @@ def test_kd_top_k(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [float("nan")] * 6), (902, [1.0, None, 0.0, 0.0, 0.0, 0.0])]
     vectors = kd_search.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     ints = np.floor(64 * x)
-    for shard_rows in (65_536, 90):
+    for shard_rows, block_rows in ((65_536, 65_536), (90, 65_536), (90, 12)):
         got = defaultdict(list)
-        for r in kd_search.kd_top_k(vectors, F.col("vec_id") % 20 == 0, 20, shard_rows).orderBy("query_id", "rank").collect():
+        for r in kd_search.kd_top_k(vectors, F.col("vec_id") % 20 == 0, 20, shard_rows, block_rows).orderBy("query_id", "rank").collect():
             got[r["query_id"]].append((r["vec_id"], r["score"]))
         for q in range(0, 700, 20):
             want = sorted(((int(s), i) for i, s in enumerate(ints @ ints[q]) if i != q), key=lambda t: (-t[0], t[1]))[:20]
@@ -187,6 +187,23 @@ def test_kd_top_k(spark):
     assert [(r["query_id"], r["vec_id"]) for r in few] == [(0, 1)]
 
 
+def test_kd_top_k_of_odd_tables(spark):
+    """No rows; other columns with names that the operator uses; one id on a third of the rows, null ids, empty vectors and ties."""
+    kind = "vec_id long, embedding array<double>, q int, shard int, at int, score int, point int"
+    vectors = spark.createDataFrame([], kind)
+    assert kd_search.kd_top_k(kd_search.quantized(vectors), F.col("vec_id") % 20 == 0).count() == 0
+    rows = [(i, [float(i % 3), 1.0], 1, 2, 3, 4, 5) for i in range(60)] + [(7, [1.0, float(i % 2)], 1, 2, 3, 4, 5) for i in range(30)] + [(None, [1.0, 1.0], 1, 2, 3, 4, 5), (61, [], 1, 2, 3, 4, 5)]
+    whole = [(i, [int(64 * x) for x in v]) for i, v, *_ in rows if i is not None]
+    got = defaultdict(list)
+    for r in kd_search.kd_top_k(kd_search.quantized(spark.createDataFrame(rows, kind)), F.col("vec_id") % 20 == 0, 20, 9, 2).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(got) == {0, 20, 40}
+    for q in got:
+        v = dict(whole)[q]
+        want = sorted(((sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q), key=lambda t: (-t[0], t[1]))[:20]
+        assert got[q] == [(i, s) for s, i in want]
+
+
 def test_decontaminate(spark, docs, texts):
     norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     long = next(t for t in texts if len(words(t)) > 100)
