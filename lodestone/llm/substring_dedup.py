@@ -1,14 +1,14 @@
 """Exact substring dedup: remove words covered by windows that also start in a document with a smaller id.
 
-Level-wise doubling.  The first level takes windows of an eighth, a quarter or
-half of the final length, whichever is the first to have ``LEAST`` words; each
-level after it takes windows of twice the length.  A final window holds many
-windows of a level, and it is enough to look at the one with the least hash
-among them (winnowing): equal final windows hold the same one.  A final window
-whose least window occurs once is given up, and the next level looks at what
-lies in the others alone, until the final windows themselves are compared or
-no candidates are left.  Longer windows cannot cover further words, so the
-doubling ends at the final length.
+Level-wise doubling.  The final length is halved as long as ``LEAST`` words are
+left, once at least; the first level takes windows of the shortest length, each
+level after it of about twice the length.  A final window holds many windows of
+a level, and it is enough to look at the one with the least hash among them
+(winnowing): equal final windows hold the same one.  A final window whose least
+window occurs once is given up, and the next level looks at what lies in the
+others alone, until the final windows themselves are compared or no candidates
+are left.  Longer windows cannot cover further words, so the doubling ends at
+the final length.
 
 Hashes have 64 bits, so two different windows are taken for equal with a
 chance of about n**2 / 2**65 over n windows.
