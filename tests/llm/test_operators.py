@@ -120,6 +120,48 @@ def test_jaccard_components(spark, docs, texts):
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("rows", "most"), [(600, 3), (30, None)])
+def test_jaccard_sketches_go_to_few_groups(spark, monkeypatch, rows, most):
+    rng = random.Random(3)
+    texts = []
+    for f in range(30):
+        base = ["f%dw%d" % (f, i) for i in range(100)]
+        for k in range(8):
+            w = list(base)
+            for _ in range(2):
+                w[rng.randrange(len(w))] = "edit%d" % rng.randrange(10**6)
+            texts.append(" ".join(w))
+            if k % 3 == 0:
+                texts.append(" ".join([*w[:-1], "last%d" % rng.randrange(10**6)]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(words, texts)]
+    least = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if least[i] != least[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                least = [min(least[i], least[j]) if x in (least[i], least[j]) else x for x in least]
+    sent, turns, across = spark.sparkContext.accumulator(0), [], jaccard_join._across
+
+    def counting(*args):
+        run = across(*args)
+        turns.append(args)
+
+        def counted(rows, sketches):
+            sent.add(sketches.num_rows)
+            return run(rows, sketches)
+
+        return counted
+
+    monkeypatch.setattr(jaccard_join, "_across", counting)
+    monkeypatch.setattr(jaccard_join, "_GROUP_ROWS", rows)
+    monkeypatch.setattr(jaccard_join, "_PAIR_BLOCK", 100)
+    monkeypatch.setattr(jaccard_join, "_PAIR_SLOTS", 64, raising=False)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["component_id"] for r in jaccard_join.jaccard_components(docs).orderBy("doc_id").collect()] == least
+    assert turns and sent.value
+    if most:
+        assert sent.value <= most * len(texts) * len(turns)
+
+
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_kneser_ney(spark, docs, texts, order, tmp_path):
     T = {i: words((t or "").translate({c: c + 32 for c in range(65, 91)})) + [None] for i, t in enumerate(texts)}
