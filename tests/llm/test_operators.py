@@ -554,6 +554,37 @@ def test_pipeline_near_duplicates(spark, texts):
     assert {x: (d is None, d or 0) for x, d in got.items()} == {x: min(least[x]) for x in {x for x, s in zip(root, sets, strict=True) if s}}
 
 
+def test_pipeline_sketches_go_to_few_groups(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    rows = []
+    for f in range(20):
+        base = ["f%dw%d" % (f, i) for i in range(100)]
+        for _ in range(8):
+            w = list(base)
+            for _ in range(2):
+                w[rng.randrange(len(w))] = "edit%d" % rng.randrange(10**6)
+            rows.append((len(rows), " ".join(w), "en", "s", 1))
+    sent, turns, across = spark.sparkContext.accumulator(0), [], jaccard_join._across
+
+    def counting(*args):
+        run = across(*args)
+        turns.append(args)
+
+        def counted(rows, sketches):
+            sent.add(sketches.num_rows)
+            return run(rows, sketches)
+
+        return counted
+
+    monkeypatch.setattr(jaccard_join, "_across", counting)
+    monkeypatch.setattr(jaccard_join, "_GROUP_ROWS", 300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert 20 <= corpus_pipeline.drop_near_duplicates(spark, docs, "").count() <= len(rows)
+    assert turns and sent.value <= 3 * len(rows) * len(turns)
+
+
 def test_joined_components_merges_roots_and_new_nodes(spark):
     from lodestone.llm.components import connected_components, joined_components
 
