@@ -1,9 +1,10 @@
 """What leaves the tasks of a search grows with its queries, and a worker holds a bounded piece of its input."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import nearest, search
+from lodestone.operators import ivf, nearest, search
 
 
 def _vectors(spark, n, dim=8, copies=2):
@@ -42,3 +43,20 @@ def test_a_task_of_a_flat_search_keeps_k_of_each_query(spark, monkeypatch):
     monkeypatch.setattr(nearest, "BROADCAST_BYTES", 500)  # the queries go in turns
     assert _rows(search.search_semantic(vecs, q, 3)) == _exact(x, range(0, 300, 10), 3)
     assert nearest.candidates(vecs, q, 0).count() == 30 * 300
+
+
+@pytest.mark.parametrize("probes", [2])
+def test_ivf_search_is_no_join_of_pairs(spark, monkeypatch, probes):
+    x, vecs = _vectors(spark, 150)
+    centers = [(c, x[c].tolist()) for c in range(5)]
+    built = ivf.build(vecs, spark.createDataFrame(centers, "cid int, center array<double>"), probes)
+    found = built.search(_asked(vecs), 4)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    s = np.round(x @ x[:5].T, 9)
+    cid, order = s.argmax(1), np.argsort(-s, axis=1, kind="stable")[:, :probes]
+    want = _exact(x, range(0, 300, 10), 4, {i: np.isin(cid, order[i]) for i in range(0, 300, 10)})
+    assert _rows(found) == want
+    monkeypatch.setattr(nearest, "BROADCAST_BYTES", 500)
+    assert _rows(built.search(_asked(vecs), 4)) == want
+    if probes == 5:
+        assert _rows(built.search(_asked(vecs), 0)) == _exact(x, range(0, 300, 10), 0)
