@@ -45,7 +45,7 @@ def test_a_task_of_a_flat_search_keeps_k_of_each_query(spark, monkeypatch):
     assert nearest.candidates(vecs, q, 0).count() == 30 * 300
 
 
-@pytest.mark.parametrize("probes", [2])
+@pytest.mark.parametrize("probes", [2, 5])
 def test_ivf_search_is_no_join_of_pairs(spark, monkeypatch, probes):
     x, vecs = _vectors(spark, 150)
     centers = [(c, x[c].tolist()) for c in range(5)]
