@@ -60,3 +60,13 @@ def test_ivf_search_is_no_join_of_pairs(spark, monkeypatch, probes):
     assert _rows(built.search(_asked(vecs), 4)) == want
     if probes == 5:
         assert _rows(built.search(_asked(vecs), 0)) == _exact(x, range(0, 300, 10), 0)
+
+
+def test_vectors_that_fall_into_lists_come_from_turns_of_centroids(spark, monkeypatch):
+    x, vecs = _vectors(spark, 60)
+    centers = spark.createDataFrame([(c, x[c].tolist()) for c in range(7)], "cid int, center array<double>")
+    monkeypatch.setattr(ivf, "CENTROID_BYTES", 200)
+    got = {r["chunk_id"]: r["cid"] for r in ivf.assign(vecs, centers).collect()}
+    assert got == dict(enumerate(np.round(x @ x[:7].T, 9).argmax(1).tolist()))
+    # centroids are met where the vectors are, not sent to the driver as queries
+    assert ivf.build(vecs, centers, 7).search(_asked(vecs), 2).count() == 24
