@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
 from lodestone.operators.index import Index
+from lodestone.sources.tables import small, stored
 
 METRICS = ("hit_rate", "mrr", "recall", "precision")
 
@@ -44,17 +45,19 @@ def holders(index: Index, queries: DataFrame) -> DataFrame:
     The rarest of a text's tokens, its first and last aside as they can be
     parts of longer ones, finds the chunks to compare it with.  Texts of fewer
     than three tokens are compared with every chunk, those that the corpus
-    lacks a token of with none.  The index must not be stemmed.
+    lacks a token of with none.  Few such pairs are sent to the texts, so that
+    these aren't shuffled.  The index must not be stemmed.
     """
     if index.stem:
         raise ValueError("stems don't tell which words a chunk holds")
     words = queries.withColumn("w", tokens(F.col("query")))
     inner = words.select("query_id", "query", F.explode(F.array_distinct(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))))).alias("term"))
     rare = inner.join(index.df, "term", "left").groupBy("query_id", "query").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term"))
-    pairs = rare.join(index.posts.select("term", "chunk_id"), "term").select("query_id", "query", "chunk_id")
+    rare = small(stored(rare.select("query_id", "term").distinct(), "rare"))
+    pairs = small(stored(index.posts.select("term", "chunk_id").join(rare, "term").select("query_id", "chunk_id").distinct(), "pairs"))
     text = index.chunks.select("chunk_id", F.concat("title", F.lit("\n"), "body").alias("text"))
     short = words.filter(F.size("w") < 3).select("query_id", "query")
-    found = pairs.join(text, "chunk_id").select("query_id", "query", "chunk_id", "text").unionByName(short.crossJoin(text))
+    found = text.join(pairs, "chunk_id").join(queries.select("query_id", "query").distinct(), "query_id").select("query_id", "query", "chunk_id", "text").unionByName(short.crossJoin(text))
     return found.filter(F.contains("text", F.col("query"))).select("query_id", "chunk_id")
 
 

@@ -1,12 +1,13 @@
 """Ranked retrieval for a table of queries: BM25, vectors, and the gated hybrid of both.
 
-Every search takes all its queries at once.  Query terms are a small table
-that meets the postings in an equi-join; ranks are of round(score, 9), ties to
-the smaller chunk id.
+Every search takes all its queries at once.  A few query terms are a table
+that meets their postings in an equi-join, many go with all queries in a pass
+over the chunks; ranks are of round(score, 9), ties to the smaller chunk id.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +15,10 @@ from lodestone.config import QueryConfig, auto_shortlist
 from lodestone.functions.stem import stemmed_vocabulary
 from lodestone.functions.text import tokens
 from lodestone.functions.vector import dot
+from lodestone.operators import scan
 from lodestone.operators.index import Index
 from lodestone.operators.links import expand
-from lodestone.operators.nearest import candidates
+from lodestone.operators.nearest import asked_in_turns, candidates
 from lodestone.sources.tables import stored
 
 
@@ -68,7 +70,14 @@ def bm25_scores(index: Index, queries: DataFrame, cfg: QueryConfig) -> DataFrame
     return scored.join(index.chunks.filter(tag_filter(F.col("tags"), cfg.require_tags)).select("chunk_id"), "chunk_id", "left_semi") if cfg.require_tags else scored
 
 
+def _allowed(index: Index, cfg: QueryConfig) -> DataFrame | None:
+    """(chunk_id) with the required tags; None if none are."""
+    return index.chunks.filter(tag_filter(F.col("tags"), cfg.require_tags)).select(F.col("chunk_id").cast("long").alias("chunk_id")) if cfg.require_tags else None
+
+
 def search_bm25(index: Index, queries: DataFrame, cfg: QueryConfig) -> DataFrame:
+    if cfg.k > 0 and (asked := scan.asked_words(index, query_terms(queries, index.stem))) is not None:
+        return top_k(scan.best_by_words(index, asked, [cfg], cfg.k, _allowed(index, cfg)).drop("trial"), cfg.k)
     return top_k(bm25_scores(index, queries, cfg).filter("score > 0"), cfg.k)
 
 
@@ -105,11 +114,15 @@ def combined(rows: DataFrame, cfg: QueryConfig) -> DataFrame:
     return rows.withColumn("score", cfg.weight_semantic * F.col("semantic") + cfg.weight_bm25 * F.col("norm"))
 
 
-def _word_scores(index: Index, queries: DataFrame, cfg: QueryConfig) -> tuple[DataFrame, DataFrame]:
-    """The queries with enough words in the corpus, and their (query_id, chunk_id, bm25), each computed once: a hybrid search reads them several times."""
+def _passing(index: Index, queries: DataFrame, cfg: QueryConfig) -> DataFrame:
+    """The queries with enough words in the corpus, computed once: a hybrid search reads them several times."""
     passing = corpus_hits(index, queries, cfg.min_query_terms_in_corpus).filter("passes").select("query_id")
-    asked = stored(queries.join(passing, "query_id", "left_semi"), "asked")
-    return asked, stored(bm25_scores(index, asked, cfg).withColumnRenamed("score", "bm25"), "bm25")
+    return stored(queries.join(passing, "query_id", "left_semi"), "asked")
+
+
+def _word_scores(index: Index, asked: DataFrame, cfg: QueryConfig) -> DataFrame:
+    """(query_id, chunk_id, bm25), computed once."""
+    return stored(bm25_scores(index, asked, cfg).withColumnRenamed("score", "bm25"), "bm25")
 
 
 def hybrid_scores(index: Index, vectors: DataFrame, queries: DataFrame, cfg: QueryConfig, shortlist: DataFrame | None = None) -> DataFrame:
@@ -119,7 +132,8 @@ def hybrid_scores(index: Index, vectors: DataFrame, queries: DataFrame, cfg: Que
     a ``shortlist`` (query_id, chunk_id, score): chunks in it or with BM25,
     and cosine 0 off it.
     """
-    asked, bm25 = _word_scores(index, queries, cfg)
+    asked = _passing(index, queries, cfg)
+    bm25 = _word_scores(index, asked, cfg)
     allowed = index.chunks.filter(tag_filter(F.col("tags"), cfg.require_tags)).select("chunk_id")
     if shortlist is None:
         near = candidates(vectors.join(allowed, "chunk_id", "left_semi"), asked, 0).withColumnRenamed("score", "semantic")
@@ -131,14 +145,14 @@ def hybrid_scores(index: Index, vectors: DataFrame, queries: DataFrame, cfg: Que
     return combined(rows, cfg)
 
 
-def _contenders(index: Index, vectors: DataFrame, queries: DataFrame, cfg: QueryConfig) -> DataFrame:
+def _contenders(index: Index, vectors: DataFrame, asked: DataFrame, cfg: QueryConfig) -> DataFrame:
     """:func:`hybrid_scores` of the chunks that can be among the k best: those with BM25, and the k nearest.
 
     With a hard floor above 0 a chunk without BM25 needs its cosine alone; if
     it isn't among the k nearest, these pass the gate as well and score no less.
     """
-    asked, bm25 = _word_scores(index, queries, cfg)
-    allowed = vectors.join(index.chunks.filter(tag_filter(F.col("tags"), cfg.require_tags)).select("chunk_id"), "chunk_id", "left_semi") if cfg.require_tags else vectors
+    bm25 = _word_scores(index, asked, cfg)
+    allowed = vectors.join(index.chunks.filter(tag_filter(F.col("tags"), cfg.require_tags)).select("chunk_id"), "chunk_id", "left_semi")
     near = candidates(allowed, asked, cfg.k).withColumnRenamed("score", "semantic")
     own = bm25.join(vectors.select("chunk_id", "vec"), "chunk_id", "left").join(asked.select("query_id", "qvec"), "query_id")
     own = own.select("query_id", "chunk_id", F.coalesce(dot(F.col("qvec"), F.col("vec")), F.lit(0.0)).alias("semantic"), "bm25")
@@ -146,10 +160,32 @@ def _contenders(index: Index, vectors: DataFrame, queries: DataFrame, cfg: Query
     return combined(own.unionByName(rest), cfg)
 
 
+def _scanned(index: Index, vectors: DataFrame, asked: DataFrame, cfg: QueryConfig) -> DataFrame | None:
+    """The best of each task that pass the gate, in a pass over the chunks; None where words or vectors are too few or too many for it."""
+    words = scan.asked_words(index, query_terms(asked, index.stem))
+    turns = list(asked_in_turns(asked, 2)) if words is not None else []
+    if len(turns) != 1:
+        return None
+    ids, data = turns[0]
+    if len(np.unique(ids)) < len(ids):
+        return None  # of several vectors each would count
+    at = np.minimum(np.searchsorted(words.ids, ids), max(len(words.ids) - 1, 0))
+    known = words.ids[at] == ids if len(words.ids) else np.zeros(len(ids), bool)
+    qvecs = np.zeros((len(words.ids), data.shape[1]))
+    qvecs[at[known]] = data[known]
+    return scan.best_of_both(index, vectors, words, qvecs, cfg, _allowed(index, cfg))
+
+
 def search_hybrid(index: Index, vectors: DataFrame, queries: DataFrame, cfg: QueryConfig, shortlist: DataFrame | None = None) -> DataFrame:
     """The gate comes before the ranks, so that what it drops takes no place."""
-    few = shortlist is None and cfg.k > 0 and cfg.semantic_hard_floor > 0 and min(cfg.weight_semantic, cfg.weight_bm25) >= 0
-    rows = _contenders(index, vectors, queries, cfg) if few else hybrid_scores(index, vectors, queries, cfg, shortlist)
+    if shortlist is not None or cfg.k <= 0:
+        rows = hybrid_scores(index, vectors, queries, cfg, shortlist)
+    else:
+        asked = _passing(index, queries, cfg)
+        if (found := _scanned(index, vectors, asked, cfg)) is not None:
+            return top_k(found, cfg.k)
+        few = cfg.semantic_hard_floor > 0 and min(cfg.weight_semantic, cfg.weight_bm25) >= 0
+        rows = _contenders(index, vectors, asked, cfg) if few else hybrid_scores(index, vectors, queries, cfg)
     return top_k(rows.filter(passes_gate(F.col("semantic"), F.col("norm"), cfg)), cfg.k)
 
 

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import IndexConfig, QueryConfig, auto_shortlist
-from lodestone.operators import links, search
+from lodestone.operators import links, scan, search
 from lodestone.operators.evaluate import best_trial, mean_metrics, query_metrics
 from lodestone.operators.index import Index
 from lodestone.operators.nearest import candidates
-from lodestone.sources.tables import stored
+from lodestone.sources.tables import small, stored
 
 # What the build settings are drawn from.
 SIZES, OVERLAPS, CAPS = (300, 500, 800, 1200, 1600), (0, 50, 100, 200), (0, 1000, 2000)
@@ -34,17 +34,30 @@ def sampled(base: QueryConfig, trials: int = 200, seed: int = 42) -> list[QueryC
     return out
 
 
+def _ranked(rows: DataFrame, configs: list[QueryConfig]) -> DataFrame:
+    """The k best of each trial and query with rank; all where k is 0 or less."""
+    order = Window.partitionBy("trial", "query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
+    ranked, most = rows.withColumn("rank", F.row_number().over(order)), max(c.k for c in configs)
+    if all(c.k > 0 for c in configs):
+        ranked = ranked.filter(F.col("rank") <= most)  # a constant, so that each task cuts its part before the shuffle
+    return ranked.filter((F.col("rank") <= F.col("k")) | (F.col("k") <= 0)).select("trial", "query_id", "chunk_id", "score", "rank")
+
+
 def trial_results(index: Index, vectors: DataFrame | None, queries: DataFrame, configs: list[QueryConfig]) -> DataFrame:
     """(trial, query_id, chunk_id, score, rank) of all configs at once; without vectors, of BM25 alone.
 
-    What doesn't depend on a config, term statistics and cosines, is computed
-    once and joined with the (small) table of configs.  Tags, the words that
+    BM25 alone is one pass over the chunks for all configs.  Else what doesn't
+    depend on a config, term statistics and cosines, is computed once and
+    joined with the (small) table of configs.  Tags, the words that
     the corpus must have, the IVF and the shortlist are the first config's.
     """
     spark, base = index.chunks.sparkSession, configs[0]
     if vectors is not None:
         queries = queries.join(search.corpus_hits(index, queries, base.min_query_terms_in_corpus).filter("passes").select("query_id"), "query_id", "left_semi")
     allowed = index.chunks.filter(search.tag_filter(F.col("tags"), base.require_tags)).select("chunk_id")
+    if vectors is None and all(c.k > 0 for c in configs) and (asked := scan.asked_words(index, search.query_terms(queries, index.stem), -1)) is not None:
+        found = scan.best_by_words(index, asked, configs, max(c.k for c in configs), allowed if base.require_tags else None)
+        return _ranked(found.join(F.broadcast(spark.createDataFrame([(i, c.k) for i, c in enumerate(configs)], "trial int, k int")), "trial"), configs)
     table = spark.createDataFrame([(i, c.k, *(float(getattr(c, n)) for n in _KNOBS)) for i, c in enumerate(configs)], ", ".join(["trial int", "k int", *(f"{n} double" for n in _KNOBS)]))
     width = min(_BLOCK, len(configs))
     padded = [*configs, *configs[-1:] * (-len(configs) % width)]
@@ -77,11 +90,7 @@ def trial_results(index: Index, vectors: DataFrame | None, queries: DataFrame, c
         rows = rows.join(F.broadcast(table), "trial").withColumn("score", F.col("weight_semantic") * F.col("semantic") + F.col("weight_bm25") * F.col("norm"))
         gate = F.when(F.col("semantic") < F.col("semantic_hard_floor"), False).when(F.col("semantic") < F.col("semantic_soft_floor"), F.col("norm") >= F.col("bm25_min_for_soft_zone")).otherwise(True)
         rows = rows.filter(gate)
-    order = Window.partitionBy("trial", "query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
-    ranked, most = rows.withColumn("rank", F.row_number().over(order)), max(c.k for c in configs)
-    if all(c.k > 0 for c in configs):
-        ranked = ranked.filter(F.col("rank") <= most)  # a constant, so that each task cuts its part before the shuffle
-    return ranked.filter((F.col("rank") <= F.col("k")) | (F.col("k") <= 0)).select("trial", "query_id", "chunk_id", "score", "rank")
+    return _ranked(rows, configs)
 
 
 def _expanded(ranked: DataFrame, index: Index, most: int) -> DataFrame:
@@ -105,7 +114,7 @@ def tune_query(index: Index, queries: DataFrame, labels: DataFrame, configs: lis
         ranked, configs = found.select(F.lit(0).alias("trial"), "query_id", "chunk_id", "score", "rank"), configs[:1]
     else:
         ranked = _expanded(trial_results(index, None if base.mode == "bm25" else index.vectors, queries, configs), index, base.max_linked)
-    shown = stored(ranked.join(index.chunks.select("chunk_id", "file", "title"), "chunk_id"), "trials")
+    shown = stored(small(stored(ranked, "ranked")).join(index.chunks.select("chunk_id", "file", "title"), "chunk_id"), "trials")
     best = best_trial(mean_metrics(query_metrics(shown, labels, ("trial",)), ("trial",)), goal).first()
     return (configs[best["trial"]], best["objective"]) if best["trial"] is not None else (base, 0.0)
 

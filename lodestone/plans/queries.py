@@ -13,7 +13,7 @@ from lodestone.functions.embed import HashingEmbedder
 from lodestone.functions.stem import stemmed_vocabulary
 from lodestone.operators import chunking, evaluate, index, ivf, links, render, search, tune
 from lodestone.operators.nearest import candidates
-from lodestone.sources.tables import new_path, read_table, stored
+from lodestone.sources.tables import new_path, read_table, small, stored
 
 QUESTION = "the ththe and tionth estion with"
 PROBES = 8
@@ -104,12 +104,12 @@ def _batch(spark: SparkSession, d: str, cfg: QueryConfig) -> DataFrame:
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     """A label per document that holds a passage word for word."""
     made = built(spark, d)
-    hits = evaluate.holders(made, passages(spark, d)).join(made.chunks.select("chunk_id", "file"), "chunk_id")
+    hits = small(stored(evaluate.holders(made, passages(spark, d)), "holders")).join(made.chunks.select("chunk_id", "file"), "chunk_id")
     return stored(hits.select("query_id", F.col("file").alias("label"), F.lit(False).alias("is_title")), "labels")
 
 
 def _shown(spark: SparkSession, d: str) -> DataFrame:
-    return stored(_batch(spark, d, QueryConfig(mode="bm25", k=5)).join(built(spark, d).chunks.select("chunk_id", "file", "title"), "chunk_id"), "shown")
+    return stored(small(stored(_batch(spark, d, QueryConfig(mode="bm25", k=5)), "ranked")).join(built(spark, d).chunks.select("chunk_id", "file", "title"), "chunk_id"), "shown")
 
 
 def _metrics(df: DataFrame, *keys: str) -> DataFrame:
@@ -155,7 +155,7 @@ def _frontmatter(spark: SparkSession, d: str) -> DataFrame:
 
 def _tuned(spark: SparkSession, d: str) -> DataFrame:
     made = built(spark, d)
-    shown = stored(tune.trial_results(made, None, passages(spark, d), GRID).join(made.chunks.select("chunk_id", "file", "title"), "chunk_id"), "trials")
+    shown = stored(small(stored(tune.trial_results(made, None, passages(spark, d), GRID), "ranked")).join(made.chunks.select("chunk_id", "file", "title"), "chunk_id"), "trials")
     means = evaluate.mean_metrics(evaluate.query_metrics(shown, labelled(spark, d), ("trial",)), ("trial",))
     return evaluate.best_trial(means, "mrr").select("trial", F.round("objective", 9).alias("objective"))
 

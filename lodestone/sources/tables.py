@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows, of a few numbers each, that are sent to the rows of a large table instead of shuffling it.
+SMALL_ROWS = 500_000
 
 
 def read_table(spark: SparkSession, path: str, partitions: int = 0) -> DataFrame:
@@ -38,3 +42,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, stored rows of a few numbers, to be sent to what it is joined with if they are few."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df

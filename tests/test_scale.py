@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import ivf, nearest, search
+from lodestone.config import QueryConfig
+from lodestone.operators import index, ivf, nearest, scan, search, tune
 
 
 def _vectors(spark, n, dim=8, copies=2):
@@ -70,3 +71,45 @@ def test_vectors_that_fall_into_lists_come_from_turns_of_centroids(spark, monkey
     assert got == dict(enumerate(np.round(x @ x[:7].T, 9).argmax(1).tolist()))
     # centroids are met where the vectors are, not sent to the driver as queries
     assert ivf.build(vecs, centers, 7).search(_asked(vecs), 2).count() == 24
+
+
+def _shuffled(spark, run):
+    """What ``run`` returns, and the bytes that it shuffled."""
+    jsc = spark.sparkContext._jsc.sc()
+
+    def total():
+        jsc.listenerBus().waitUntilEmpty(30_000)
+        return jsc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = total()
+    return run(), total() - before
+
+
+def _corpus(spark, path, n=3000):
+    """A saved index of chunks that share their words, each text twice, and 30 queries of these words."""
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(40)]
+    texts = [(" ".join(rng.choice(words, 2)), " ".join(rng.choice(words, 12))) for _ in range(n // 2)] * 2
+    rows = [(i, f"f{i}", t, b, [("odd", "even")[i % 2 == 0]]) for i, (t, b) in enumerate(texts)]
+    index.build(spark.createDataFrame(rows, "chunk_id long, file string, title string, body string, tags array<string>").repartition(4)).save(path)
+    asked = [(i, " ".join([*rng.choice(words, 6), "none"])) for i in range(30)]
+    return index.load(spark, path), spark.createDataFrame(asked, "query_id long, query string"), {i: f"{t}\n{b}" for i, (t, b) in enumerate(texts)}
+
+
+@pytest.fixture(scope="module")
+def made(spark, tmp_path_factory):
+    return _corpus(spark, str(tmp_path_factory.mktemp("index") / "i"))
+
+
+def _found(df, *by):
+    return sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.select(*by, "query_id", "rank", "chunk_id", "score").collect())
+
+
+def test_trials_shuffle_what_they_keep(spark, made, monkeypatch):
+    """30 queries meet nearly all of 3000 chunks in 9 trials."""
+    built, q, _ = made
+    configs = [QueryConfig(mode="bm25", k=k, bm25_k1=k1, bm25_b=b, title_boost=t) for k1 in (0.8, 2.33) for b in (0.4, 0.97) for k, t in ((5, 2.5), (3, 1.0))]
+    got, moved = _shuffled(spark, lambda: _found(tune.trial_results(built, None, q, configs), "trial"))
+    assert len(got) == 4 * 30 * (5 + 3) and moved < 300_000
+    monkeypatch.setattr(scan, "asked_words", lambda *_: None)
+    assert _found(tune.trial_results(built, None, q, configs), "trial") == got
