@@ -134,3 +134,13 @@ def test_a_hybrid_search_shuffles_no_pairs(spark, made, monkeypatch, hard, tags)
     assert len(got) >= 250 and moved < 1_000_000
     monkeypatch.setattr(scan, "asked_words", lambda *_: None)
     assert _found(search.search_hybrid(built, vecs, asked, cfg), "semantic", "norm") == got
+
+
+def test_a_hybrid_search_of_one_query_finds_chunks_of_the_index_only(spark, made):
+    """Vectors without a chunk take no place, and the nearest come out of bounded pieces."""
+    built, q, text = made
+    vecs, asked = _with_vectors(spark, q)
+    far = vecs.withColumn("chunk_id", F.when(F.col("chunk_id") < 20, F.col("chunk_id") + 9_000).otherwise(F.col("chunk_id")))
+    cfg = QueryConfig(k=10, semantic_hard_floor=0.05, semantic_soft_floor=0.15, weight_bm25=0.0)
+    got = search.search_hybrid(built, far, asked.filter("query_id = 5"), cfg)
+    assert {r["chunk_id"] for r in got.collect()} <= set(text) and got.count() == 10
