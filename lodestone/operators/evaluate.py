@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
 from lodestone.operators.index import Index
-from lodestone.sources.tables import small, stored
+from lodestone.sources.tables import SMALL_ROWS, small, stored
 
 METRICS = ("hit_rate", "mrr", "recall", "precision")
 
@@ -53,11 +53,12 @@ def holders(index: Index, queries: DataFrame) -> DataFrame:
     words = queries.withColumn("w", tokens(F.col("query")))
     inner = words.select("query_id", "query", F.explode(F.array_distinct(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))))).alias("term"))
     rare = inner.join(index.df, "term", "left").groupBy("query_id", "query").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term"))
-    rare = small(stored(rare.select("query_id", "term").distinct(), "rare"))
-    pairs = small(stored(index.posts.select("term", "chunk_id").join(rare, "term").select("query_id", "chunk_id").distinct(), "pairs"))
+    rare = small(stored(rare.select("query_id", F.xxhash64("query").alias("of"), "term"), "rare"))
+    pairs = small(stored(index.posts.select("term", "chunk_id").join(rare, "term").select("query_id", "of", "chunk_id"), "pairs"))
+    asked = small(stored(queries.select("query_id", F.xxhash64("query").alias("of"), "query").distinct(), "asked"), SMALL_ROWS // 20)
     text = index.chunks.select("chunk_id", F.concat("title", F.lit("\n"), "body").alias("text"))
     short = words.filter(F.size("w") < 3).select("query_id", "query")
-    found = text.join(pairs, "chunk_id").join(queries.select("query_id", "query").distinct(), "query_id").select("query_id", "query", "chunk_id", "text").unionByName(short.crossJoin(text))
+    found = text.join(pairs, "chunk_id").join(asked, ["query_id", "of"]).select("query_id", "query", "chunk_id", "text").unionByName(short.crossJoin(text))
     return found.filter(F.contains("text", F.col("query"))).select("query_id", "chunk_id")
 
 

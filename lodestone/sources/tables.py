@@ -44,6 +44,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     """``df``, stored rows of a few numbers, to be sent to what it is joined with if they are few."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+    return F.broadcast(df) if df.count() <= most else df

@@ -144,3 +144,17 @@ def test_a_hybrid_search_of_one_query_finds_chunks_of_the_index_only(spark, made
     cfg = QueryConfig(k=10, semantic_hard_floor=0.05, semantic_soft_floor=0.15, weight_bm25=0.0)
     got = search.search_hybrid(built, far, asked.filter("query_id = 5"), cfg)
     assert {r["chunk_id"] for r in got.collect()} <= set(text) and got.count() == 10
+
+
+def test_labels_come_without_a_shuffle_of_texts(spark, tmp_path, request):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the texts are taken for many
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    rows = [(i, f"f{i}", "head", " ".join(f"x{(i * 31 + j * 7919) % 5_003}" for j in range(400)), ["t"]) for i in range(600)]
+    index.build(spark.createDataFrame(rows, "chunk_id long, file string, title string, body string, tags array<string>")).save(str(tmp_path / "i"))
+    built = index.load(spark, str(tmp_path / "i"))
+    asked = spark.createDataFrame([(i, " ".join(rows[i * 20][3].split()[5:15])) for i in range(30)] + [(0, "head"), (1, rows[40][3][:60])], "query_id long, query string")
+    from lodestone.operators import evaluate
+
+    got, moved = _shuffled(spark, lambda: sorted((r["query_id"], r["chunk_id"]) for r in evaluate.holders(built, asked).filter("chunk_id < 1000").collect()))
+    want = sorted((q, r[0]) for q, t in {tuple(x) for x in asked.collect()} for r in rows if t in f"{r[2]}\n{r[3]}")
+    assert got == want and moved < sum(len(r[3]) for r in rows) / 10
