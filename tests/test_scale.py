@@ -158,3 +158,18 @@ def test_labels_come_without_a_shuffle_of_texts(spark, tmp_path, request):
     got, moved = _shuffled(spark, lambda: sorted((r["query_id"], r["chunk_id"]) for r in evaluate.holders(built, asked).filter("chunk_id < 1000").collect()))
     want = sorted((q, r[0]) for q, t in {tuple(x) for x in asked.collect()} for r in rows if t in f"{r[2]}\n{r[3]}")
     assert got == want and moved < sum(len(r[3]) for r in rows) / 10
+
+
+def test_metrics_of_a_batch_shuffle_what_is_shown(spark, made):
+    from lodestone.operators import evaluate
+
+    built, q, text = made
+    asked = q.withColumn("query", F.concat_ws(" ", "query", F.lit("w1 w2")))
+
+    def run():
+        shown = search.search_bm25(built, asked, QueryConfig(mode="bm25", k=5)).join(F.broadcast(built.chunks.select("chunk_id", "file", "title")), "chunk_id")
+        labels = spark.createDataFrame([(i, f"f{i}", False) for i in range(30)], "query_id long, label string, is_title boolean")
+        return evaluate.mean_metrics(evaluate.query_metrics(shown, labels)).first()
+
+    means, moved = _shuffled(spark, run)
+    assert 0 <= means["mrr"] <= means["hit_rate"] <= 1 and moved < 300_000
