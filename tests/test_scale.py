@@ -173,3 +173,20 @@ def test_metrics_of_a_batch_shuffle_what_is_shown(spark, made):
 
     means, moved = _shuffled(spark, run)
     assert 0 <= means["mrr"] <= means["hit_rate"] <= 1 and moved < 300_000
+
+
+@pytest.mark.parametrize("tags", [(), ("EVEN",)])
+def test_a_batch_by_words_shuffles_k_rows_of_each_query(spark, made, monkeypatch, tags):
+    built, q, _ = made
+    cfg = QueryConfig(mode="bm25", k=4, require_tags=tags)
+    got, moved = _shuffled(spark, lambda: _found(search.search_bm25(built, q, cfg)))
+    assert len(got) == 120 and moved < 150_000
+    # equal texts have equal scores, and the smaller id comes first
+    best = {(r[0], r[1]): r for r in got}
+    assert tags or all(best[i, 1][2] < best[i, 2][2] and best[i, 1][3] == best[i, 2][3] for i in range(30))
+    stemmed = index.build(built.chunks, stem=True)
+    monkeypatch.setattr(scan, "CELLS", 40)
+    assert _found(search.search_bm25(built, q, cfg)) == got == _found(search.search_bm25(stemmed, q, cfg))
+    monkeypatch.setattr(scan, "asked_words", lambda *_: None)
+    assert _found(search.search_bm25(built, q, cfg)) == got
+    assert search.search_bm25(built, q.limit(0), cfg).count() == 0
