@@ -190,3 +190,13 @@ def test_a_batch_by_words_shuffles_k_rows_of_each_query(spark, made, monkeypatch
     monkeypatch.setattr(scan, "asked_words", lambda *_: None)
     assert _found(search.search_bm25(built, q, cfg)) == got
     assert search.search_bm25(built, q.limit(0), cfg).count() == 0
+
+
+def test_a_common_term_is_sorted_in_several_tasks(spark, made, tmp_path, monkeypatch):
+    built, _, _ = made
+    monkeypatch.setattr(index, "SORT_POSTINGS", 4000)
+    index.build(built.chunks.withColumn("body", F.concat_ws(" ", "body", F.lit("everywhere")))).save(str(tmp_path / "i"))
+    posts = spark.read.parquet(str(tmp_path / "i" / "postings"))
+    sizes = posts.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.max((F.col("term") == "everywhere").cast("int")).alias("has")).collect()
+    assert posts.filter("term = 'everywhere'").count() == 3000 and max(r["n"] for r in sizes) < 3 * 4000
+    assert {tuple(r) for r in posts.collect()} == {tuple(r) for r in index.postings(spark.read.parquet(str(tmp_path / "i" / "chunks"))).collect()}
