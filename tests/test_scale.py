@@ -200,3 +200,28 @@ def test_a_common_term_is_sorted_in_several_tasks(spark, made, tmp_path, monkeyp
     sizes = posts.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.max((F.col("term") == "everywhere").cast("int")).alias("has")).collect()
     assert posts.filter("term = 'everywhere'").count() == 3000 and max(r["n"] for r in sizes) < 3 * 4000
     assert {tuple(r) for r in posts.collect()} == {tuple(r) for r in index.postings(spark.read.parquet(str(tmp_path / "i" / "chunks"))).collect()}
+
+
+def _tokens(rows):
+    title, body = zip(*rows, strict=True)
+    size = [len(t) + len(b) for t, b in rows]
+    kind = pa.list_(pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(size, pa.int32()), pa.array(title, kind), pa.array(body, kind)], names=["chunk_id", "doc_len", "t", "b"])
+
+
+def _drawn(n=200):
+    rng = np.random.default_rng(5)
+    return [([f"a{x}" for x in rng.integers(9, size=rng.integers(4))], [f"a{x}" for x in rng.integers(30, size=rng.integers(60))]) for _ in range(n)]
+
+
+def _counted(rows):
+    return {(i, w, (t + b).count(w), t.count(w), len(t) + len(b)) for i, (t, b) in enumerate(rows) for w in {*t, *b}}
+
+
+def test_tokens_are_counted_in_bounded_pieces(monkeypatch):
+    rows = _drawn()
+    monkeypatch.setattr(index, "COUNT_TOKENS", 100)
+    out = list(index._count(iter([_tokens(rows)])))
+    assert max(x.num_rows for x in out) <= 100 and len(out) > 20
+    got = [(r["chunk_id"], r["term"], r["tf"], r["title_tf"], r["doc_len"]) for x in out for r in x.to_pylist()]
+    assert len(got) == len(set(got)) and set(got) == _counted(rows)
