@@ -225,3 +225,11 @@ def test_tokens_are_counted_in_bounded_pieces(monkeypatch):
     assert max(x.num_rows for x in out) <= 100 and len(out) > 20
     got = [(r["chunk_id"], r["term"], r["tf"], r["title_tf"], r["doc_len"]) for x in out for r in x.to_pylist()]
     assert len(got) == len(set(got)) and set(got) == _counted(rows)
+
+
+def test_words_to_stem_come_in_bounded_pieces(monkeypatch):
+    """A batch of distinct words, more than a piece takes, comes out whole and piece by piece."""
+    rows = [([], [f"word{i * 50 + j}s" for j in range(50)]) for i in range(20)]
+    monkeypatch.setattr(index, "COUNT_TOKENS", 120)
+    out = [x.column("term").to_pylist() for x in index._count(iter([_tokens(rows)]))]
+    assert max(map(len, out)) <= 120 and sorted(w for x in out for w in x) == sorted(w for _, b in rows for w in b)
