@@ -233,3 +233,11 @@ def test_words_to_stem_come_in_bounded_pieces(monkeypatch):
     monkeypatch.setattr(index, "COUNT_TOKENS", 120)
     out = [x.column("term").to_pylist() for x in index._count(iter([_tokens(rows)]))]
     assert max(map(len, out)) <= 120 and sorted(w for x in out for w in x) == sorted(w for _, b in rows for w in b)
+
+
+def test_a_chunk_of_more_tokens_than_a_piece_is_counted_whole(monkeypatch):
+    rows = [([], ["a"]), (["b"], ["b", "c"] * 300), ([], []), ([], ["c"])]
+    monkeypatch.setattr(index, "COUNT_TOKENS", 100)
+    out = list(index._count(iter([_tokens(rows)])))
+    assert [x.num_rows for x in out] == [1, 2, 1]
+    assert {(r["term"], r["chunk_id"]) for x in out for r in x.to_pylist()} == {("a", 0), ("b", 1), ("c", 1), ("c", 3)}
