@@ -241,3 +241,11 @@ def test_a_chunk_of_more_tokens_than_a_piece_is_counted_whole(monkeypatch):
     out = list(index._count(iter([_tokens(rows)])))
     assert [x.num_rows for x in out] == [1, 2, 1]
     assert {(r["term"], r["chunk_id"]) for x in out for r in x.to_pylist()} == {("a", 0), ("b", 1), ("c", 1), ("c", 3)}
+
+
+def test_title_counts_keep_to_their_piece(monkeypatch):
+    rows = _drawn(60)
+    monkeypatch.setattr(index, "COUNT_TOKENS", 64)
+    flat = [(r["chunk_id"], r["term"], r["title_tf"]) for x in index._count(iter([_tokens(rows)])) for r in x.to_pylist()]
+    nested = [(r["chunk_id"], w, n) for x in index._gather(iter([_tokens(rows)])) for r in x.to_pylist() for w, n in zip(r["terms"], r["title_tf"], strict=True)]
+    assert set(flat) == {(i, w, t) for i, w, _, t, _ in _counted(rows)} and flat == nested
