@@ -18,8 +18,8 @@ from lodestone.operators import ivf as ivf_
 SCHEMA_VERSION = 3
 #: Tokens that a worker counts at once; a batch of more is counted run by run.
 COUNT_TOKENS = 1 << 18
-#: Postings that a task sorts as the index is saved.
-SORT_POSTINGS = 1 << 21
+#: Postings of a run in order of term.
+RUN_POSTINGS = 1 << 20
 
 
 def tokenized(chunks: DataFrame) -> DataFrame:
@@ -72,6 +72,24 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([chunk, length, *lists], names=["chunk_id", "doc_len", "terms", "tf", "title_tf"])
 
 
+def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of :func:`forward` to postings, run by run in order of term and chunk."""
+    for batch in batches:
+        sizes = np.diff(batch.column("terms").offsets.to_numpy())
+        for at, stop in pieces(sizes, RUN_POSTINGS):
+            part = batch.slice(at, stop - at)
+            words = part.column("terms").flatten().dictionary_encode()
+            place = np.empty(len(words.dictionary), np.int64)
+            place[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(len(place))
+            row = np.repeat(np.arange(stop - at), sizes[at:stop])
+            code = words.indices.to_numpy()
+            chunk = part.column("chunk_id").to_numpy(zero_copy_only=False)[row]
+            order = np.lexsort((chunk, place[code]))
+            rows = pa.array(row[order])
+            counts = [pa.array(part.column(n).flatten().to_numpy()[order].astype(np.int64)) for n in ("tf", "title_tf")]
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[order])), part.column("chunk_id").take(rows), *counts, part.column("doc_len").take(rows)], names=["term", "chunk_id", "tf", "title_tf", "doc_len"])
+
+
 def _mapped(chunks: DataFrame, run, schema: str) -> DataFrame:
     rows = tokenized(chunks)
     return rows.select("chunk_id", "doc_len", "t", "b").mapInArrow(run, schema.format(rows.schema["chunk_id"].dataType.simpleString()))
@@ -125,22 +143,20 @@ class Index:
     forward: DataFrame | None = None
 
     def save(self, path: str) -> None:
-        """Postings are in order of term, so that a search reads few row groups; vectors that lie in the IVF lists aren't written twice.
+        """Postings are in runs in order of term, so that a search reads few pages; vectors that lie in the IVF lists aren't written twice.
 
         The postings lie there chunk by chunk as well, for searches of many
         queries.  These are written first and all else is counted from them,
-        so that texts are cut into tokens once.  A task sorts about
-        ``SORT_POSTINGS`` of them, and a term of more lies in several files.
+        so that texts are cut into tokens once.  Runs are sorted where their
+        chunks are read, so that the postings aren't shuffled.
         """
         spark = self.chunks.sparkSession
         self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
         (forward(self.chunks, self.stem) if self.forward is None else self.forward).write.mode("overwrite").parquet(f"{path}/forward")
         by_chunk = spark.read.parquet(f"{path}/forward")
         stats = by_chunk.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long").alias("total_len"))
-        n = by_chunk.agg(F.sum(F.size("terms"))).first()[0] or 0
-        rows = by_chunk.select("chunk_id", "doc_len", F.inline(F.arrays_zip("terms", "tf", "title_tf")))
-        rows = rows.select(F.col("terms").alias("term"), "chunk_id", F.col("tf").cast("long").alias("tf"), F.col("title_tf").cast("long").alias("title_tf"), "doc_len")
-        rows.repartitionByRange(-(-n // SORT_POSTINGS) or 1, "term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+        kind = by_chunk.schema["chunk_id"].dataType.simpleString()
+        by_chunk.mapInArrow(_invert, f"term string, chunk_id {kind}, tf long, title_tf long, doc_len int").write.mode("overwrite").parquet(f"{path}/postings")
         term_df(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/term_df")
         meta = stats.withColumns({
             "avg_dl": F.when(F.col("n_chunks") > 0, F.col("total_len") / F.col("n_chunks")).otherwise(0.0),

@@ -37,8 +37,8 @@ def query_terms(queries: DataFrame, stem: bool = False) -> DataFrame:
 def term_hits(index: Index, queries: DataFrame) -> DataFrame:
     """The postings of the query terms, with query_id, q_tf, df and the corpus statistics.
 
-    Postings are stored in order of term, so for few terms the scan skips the
-    row groups without them.
+    Postings are stored in runs in order of term, so for few terms the scan
+    skips the pages without them.
     """
     q = query_terms(queries, index.stem)
     terms = [r["term"] for r in q.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]

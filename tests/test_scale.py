@@ -192,14 +192,17 @@ def test_a_batch_by_words_shuffles_k_rows_of_each_query(spark, made, monkeypatch
     assert search.search_bm25(built, q.limit(0), cfg).count() == 0
 
 
-def test_a_common_term_is_sorted_in_several_tasks(spark, made, tmp_path, monkeypatch):
+def test_an_index_is_saved_in_sorted_runs_without_a_shuffle_of_postings(spark, made, tmp_path, monkeypatch):
     built, _, _ = made
-    monkeypatch.setattr(index, "SORT_POSTINGS", 4000)
-    index.build(built.chunks.withColumn("body", F.concat_ws(" ", "body", F.lit("everywhere")))).save(str(tmp_path / "i"))
+    chunks = built.chunks.withColumn("body", F.concat_ws(" ", "body", F.lit("everywhere")))
+    _, moved = _shuffled(spark, lambda: index.build(chunks).save(str(tmp_path / "i")))
     posts = spark.read.parquet(str(tmp_path / "i" / "postings"))
-    sizes = posts.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.max((F.col("term") == "everywhere").cast("int")).alias("has")).collect()
-    assert posts.filter("term = 'everywhere'").count() == 3000 and max(r["n"] for r in sizes) < 3 * 4000
+    assert posts.filter("term = 'everywhere'").count() == 3000 and moved < 50_000
     assert {tuple(r) for r in posts.collect()} == {tuple(r) for r in index.postings(spark.read.parquet(str(tmp_path / "i" / "chunks"))).collect()}
+    monkeypatch.setattr(index, "RUN_POSTINGS", 90)
+    rows = _drawn()
+    runs = [[tuple(r.values()) for r in x.to_pylist()] for x in index._invert(index._gather(iter([_tokens(rows)])))]
+    assert max(map(len, runs)) <= 90 and all(x == sorted(x) for x in runs) and sorted(r for x in runs for r in x) == sorted((w, i, n, t, size) for i, w, n, t, size in _counted(rows))
 
 
 def _tokens(rows):
